@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, lines_as: str = "n_lines", dropped_as: str = "n_
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = store(docs.select("doc_id", "text").mapInArrow(_hashes, f"doc_id {id_type}, h binary")).df
     keys = held.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("without"))
-    shared = keys.where((F.col("keeper") != F.col("last")) | (F.col("without") & F.col("keeper").isNotNull())).select("h", "keeper")
+    shared = store(keys.where((F.col("keeper") != F.col("last")) | (F.col("without") & F.col("keeper").isNotNull())).select("h", "keeper")).df  # written, so that Spark can split a hot line's join
     falls = held.join(shared, "h").where("doc_id is null or doc_id <> keeper").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__drops"))
     joined = docs.join(falls, docs["doc_id"].eqNullSafe(falls["__id"]), "left").select(*[docs[c] for c in docs.columns], "__drops")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{lines_as}` bigint, `{dropped_as}` bigint"
