@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, lines, simhash, toxicity
+from skein.llm import bpe, decontam, lines, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_quality": quality.op2_quality,
         "op3_line_dedup": lines.op3_line_dedup,
         "op6_decontamination": decontam.op6_decontamination,
         "op8_toxicity": toxicity.op8_toxicity,
