@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, lines, quality, simhash, toxicity
+from skein.llm import bpe, decontam, lines, lm, quality, simhash, toxicity, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op2_quality": quality.op2_quality,
         "op3_line_dedup": lines.op3_line_dedup,
+        "op4_lm": lm.op4_lm,
+        "op5_fingerprints": winnow.op5_fingerprints,
         "op6_decontamination": decontam.op6_decontamination,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_bpe": bpe.op10_bpe,
