@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import binary, prepare, read_documents
+from skein.llm.common import prepare, read_documents, store
 from skein.llm.transducer import Transducer, compile_words
 
-#: Words in the lexicon: the most frequent of the corpus, ties by the word itself.
+#: Words of the corpus that go into the lexicon, at most: those of the highest counts.
 LEXICON_WORDS = 32768
 #: Words that a worker remembers, and that a counting task holds before it hands its counts on.
 MEMORY_WORDS = 400_000
@@ -123,12 +123,15 @@ class Vocabulary:
             if not len(live):
                 break
             grid[live, where] = self.result[at[live, where]]
-            column = np.arange(width)
-            moved = np.where(column > where[:, None], grid[live, 1:], grid[live, :-1])
-            grid[live, :-1] = moved
-            grid[live, -1] = -1
-            new = self._ranks(grid[live, :-1], grid[live, 1:])
-            at[live], rank[live] = new, np.where(new < 0, _NONE, self.rank[new])
+            for table, none in ((grid, -1), (at, -1), (rank, _NONE)):  # what follows moves up by one
+                own = table[live]
+                own[:, :-1] = np.where(np.arange(own.shape[1] - 1) > where[:, None], own[:, 1:], own[:, :-1])
+                own[:, -1] = none
+                table[live] = own
+            for place in (where - 1, where):  # only the merged symbol's two pairs are new
+                rows, place = live[place >= 0], place[place >= 0]
+                new = self._ranks(grid[rows, place], grid[rows, place + 1])
+                at[rows, place], rank[rows, place] = new, np.where(new < 0, _NONE, self.rank[new])
         return [[x for x in row if x >= 0] for row in grid.tolist()]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -160,22 +163,34 @@ def _special_pattern(vocabulary: Vocabulary) -> regex.Pattern | None:
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words over all rows; counts are summed in tasks, then shuffled. At most `limit` come to the driver."""
-    specials = _special_pattern(vocabulary)
+    """The parts, as the scheme splits them, of the most frequent blank-separated words over all rows.
+
+    Counts are summed in tasks, then shuffled. The least count is read off a histogram, so
+    that only the words chosen, at most `limit`, come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(_pieces(text or "", specials))
+                counts.update((text or "").split(" "))
             if len(counts) >= MEMORY_WORDS:
                 yield emit()
                 counts.clear()
         yield emit()
 
     found = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(r.word.encode() for r in found.orderBy(F.desc("n"), "word").limit(limit).collect() if r.word not in vocabulary.specials)
+    found = store(found.where("n > 1 and length(word) <= 64").withColumn("b", F.floor(F.log("n") * 100).cast("int"))).df
+    least, room = 0, limit
+    for b, c in sorted(((r.b, r.c) for r in found.groupBy("b").agg(F.count("*").alias("c")).collect()), reverse=True):
+        room -= c
+        if room < 0:
+            least = b + 1
+            break
+    chosen = found.where(F.col("b") >= least).select("word").toArrow().column("word").to_pylist()
+    pieces = {p for w in chosen for p in _WORDS.findall(" " + w)} - set(vocabulary.specials)
+    return sorted(p.encode() for p in pieces)
 
 
 @dataclass

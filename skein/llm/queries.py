@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, lines, lm, quality, simhash, toxicity, winnow
+from skein.llm import bpe, decontam, lines, lm, pii, quality, repeats, simhash, toxicity, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm": lm.op4_lm,
         "op5_fingerprints": winnow.op5_fingerprints,
         "op6_decontamination": decontam.op6_decontamination,
+        "op7_repeats": repeats.op7_repeats,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_pii": pii.op9_pii,
         "op10_bpe": bpe.op10_bpe,
     }
 
