@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import audit_queries, label_queries, pair_queries
+from skein.plans import audit_queries, label_queries, pair_queries, resolve_queries
 
-_MODULES = (pair_queries, label_queries, audit_queries)
+_MODULES = (pair_queries, label_queries, audit_queries, resolve_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
