@@ -43,26 +43,36 @@ def as_string(selected: str) -> Column:
     return F.array_join(F.transform(selected, lambda v: F.hex(v.bitwiseXOR(F.lit(_POSITION)))), ",")
 
 
+def hashes(selected: str) -> Column:
+    """The selected hashes as whole numbers of 32 bits, half the size of the selection; what likeness compares."""
+    return F.transform(selected, lambda v: F.shiftright(F.shiftleft(F.shiftright(v, POSITION_BITS), 32), 32).cast("int"))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Shared selected hashes as a part of all; 1 if neither text has any."""
-    x, y = (F.transform(s, lambda v: F.shiftright(v, POSITION_BITS)) for s in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+    """Shared hashes as a part of all; 1 if neither text has any."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+#: What names a row: whether its id is null, the id or 0, and a hash of its text. Unlike a null id these join as they are.
+_KEY = ["z", "i", "th"]
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, th, n) distinct: (next_id, next_th, doc_id, th, n), each row beside the one that follows it; the first follows the last.
+    """rows (z, i, th, n) distinct: each row's key and n beside the key of the one that follows it as nz, ni, nth; the first follows the last.
 
     Rows are sorted by range partitions; a window leads inside each, and a table of one row a
     partition carries on from one to the next. No task holds all ids.
     """
-    placed = store(rows.repartitionByRange("doc_id", "th").select("*", F.spark_partition_id().alias("p"))).df
-    first = placed.groupBy("p").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    rows = rows.withColumn("z", ~F.col("z"))  # a null id comes first
+    placed = store(rows.repartitionByRange(*_KEY).select("*", F.spark_partition_id().alias("p"))).df
+    own = F.struct(*_KEY)
+    first = placed.groupBy("p").agg(F.min(own).alias("f"))
     over = Window.orderBy("p")  # one row a partition
     first = first.select("p", F.coalesce(F.lead("f").over(over), F.first("f").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    inside = placed.withColumn("nx", F.lead(F.struct("doc_id", "th")).over(Window.partitionBy("p").orderBy("doc_id", "th")))
-    found = inside.join(F.broadcast(first), "p").withColumn("nx", F.coalesce("nx", "after"))
-    return found.select(F.col("nx.doc_id").alias("next_id"), F.col("nx.th").alias("next_th"), "doc_id", "th", "n")
+    inside = placed.withColumn("next", F.lead(own).over(Window.partitionBy("p").orderBy(*_KEY)))
+    found = inside.join(F.broadcast(first), "p").withColumn("next", F.coalesce("next", "after"))
+    return found.select((~F.col("next.z")).alias("nz"), F.col("next.i").alias("ni"), F.col("next.th").alias("nth"), (~F.col("z")).alias("z"), "i", "th", "n")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -73,24 +83,27 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Null texts are empty; a null id comes first. Rows of one id are ordered by a hash of
     their texts; equal rows are returned each, followed by the next different row. A single
     document follows itself. Other columns are ignored; an empty table gives no rows.
+
+    Whole texts are shuffled once, by their keys: the exchange serves both sides of the join
+    that brings a document the beginning and the hashes of the next one.
     """
     prepare(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("n"), "text")
-    order = store(successors(docs.select("doc_id", "th", "n").groupBy("doc_id", "th").agg(F.max("n").alias("n")))).df
-    own = with_selection(docs, "text", "sel")
-    mine = own.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "n", "text", "sel")
-    same = (F.col("i").eqNullSafe(F.col("next_id"))) & (F.col("t") == F.col("next_th"))
-    heads = own.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "text", "sel").join(order, same)
-    heads = heads.select("doc_id", "th", F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), F.col("sel").alias("next_sel"))
-    heads = heads.groupBy("doc_id", "th").agg(F.max("head").alias("head"), F.max("next_sel").alias("next_sel"))
-    joined = mine.join(heads, mine["i"].eqNullSafe(heads["doc_id"]) & (mine["t"] == heads["th"]))
+    id_type = docs.schema["doc_id"].dataType
+    key = [F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0).cast(id_type)).alias("i")]
+    docs = docs.select(*key, F.coalesce("text", F.lit("")).alias("text")).select("z", "i", F.xxhash64("text").alias("th"), "text")
+    order = store(successors(docs.select(*_KEY, F.length("text").alias("n")).groupBy(*_KEY).agg(F.max("n").alias("n")))).df
+    to = order.select(F.col("nz").alias("z"), F.col("ni").alias("i"), F.col("nth").alias("th"), F.col("z").alias("pz"), F.col("i").alias("pi"), F.col("th").alias("pth"), "n")
+    heads = with_selection(docs.join(to, _KEY).select("pz", "pi", "pth", "n", "text"), "text", "sel")
+    heads = heads.select(F.col("pz").alias("z"), F.col("pi").alias("i"), F.col("pth").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), hashes("sel").alias("next_hashes"))
+    heads = heads.groupBy(*_KEY).agg(F.max("head").alias("head"), F.max("next_hashes").alias("next_hashes"))
+    joined = docs.join(heads, _KEY).withColumn("n", F.length("text"))
     joined = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), F.col("head")))
-    joined = with_selection(joined.select("i", "n", "sel", "next_sel", "edited"), "edited", "edited_sel")
+    joined = with_selection(with_selection(joined.select("z", "i", "n", "text", "edited", "next_hashes"), "text", "sel"), "edited", "edited_sel")
+    joined = joined.select("z", "i", "n", "edited", "sel", "edited_sel", "next_hashes", hashes("sel").alias("h"), hashes("edited_sel").alias("eh"))
     return joined.select(
-        F.col("i").alias("doc_id"), F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.when(~F.col("z"), F.col("i")).alias("doc_id"), F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string("sel").alias("fingerprint"), as_string("edited_sel").alias("edited_fingerprint"),
-        likeness(F.col("sel"), F.col("edited_sel")).alias("near_edited"), likeness(F.col("sel"), F.col("next_sel")).alias("near_next"),
+        likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("next_hashes")).alias("near_next"),
     )
 
 
