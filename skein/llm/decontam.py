@@ -69,7 +69,7 @@ def build_index(items: list[tuple[int, bytes]]) -> Index:
     """items: (id, normalised text); texts under Q bytes have no q-grams and are looked up whole."""
     parts = [_codes(np.frombuffer(t, np.uint8)) for _, t in items]
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(items)), [len(p) for p in parts])
+    item = np.repeat(np.arange(len(items)), np.array([len(p) for p in parts], dtype=np.int64))
     place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
     order = np.argsort(codes, kind="stable")
     known, first = np.unique(codes[order], return_index=True)
@@ -91,8 +91,8 @@ def candidates(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int
     hit = np.repeat(index.first[where] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else np.zeros(0, np.int64)
     item = index.item[hit]
     diagonal = np.repeat(at, count) - index.place[hit]
-    sizes = np.array([len(t) for t in index.texts])
-    edits = np.array([budget(n) for n in sizes])
+    sizes = np.array([len(t) for t in index.texts], dtype=np.int64)
+    edits = np.array([budget(n) for n in sizes.tolist()], dtype=np.int64)
     least = np.maximum(1, sizes - Q + 1 - Q * edits)
     half = 2 * edits + 1  # an occurrence spans at most 2e + 1 diagonals, so one of two overlapping bands of twice that holds them all
     shift = max(map(len, index.texts), default=0) + 1

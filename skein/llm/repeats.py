@@ -228,8 +228,8 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, hot_fragments: int = HOT_FRA
     """(doc_id, th, s, n): runs of starts whose `size` bytes start elsewhere too, in docs (doc_id, th, text); th is a hash of the text."""
     found = store(docs.select("doc_id", "th", "text").mapInArrow(_scan(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, k bigint, s bigint, n bigint, far bigint")).df
     twice = store(found.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")).df
-    own = found.join(twice, "k", "left_semi").dropDuplicates(["doc_id", "th", "k", "s"])
-    own = own.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("k", "s", "n", "far")).alias("parts"))
+    own = found.join(twice, "k", "left_semi")  # nothing above it needs the rows of a key together, so that Spark can split a hot one
+    own = own.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.collect_set(F.struct("k", "s", "n", "far")).alias("parts"))
     both = docs.join(own, docs["doc_id"].eqNullSafe(own["i"]) & (docs["th"] == own["t"])).select("doc_id", "th", "text", "parts")
     pieces = store(both.mapInArrow(_cut(size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, k bigint, fh binary, s bigint, n bigint, far bigint, data binary")).df
     distinct = store(pieces.groupBy("k", "fh").agg(F.min("far").alias("far"), F.count("*").alias("copies"), F.first("data").alias("data"))).df
