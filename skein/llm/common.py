@@ -1,94 +1,34 @@
-"""Helpers that the corpus operators share: scratch tables, row keys, vectorised word hashing."""
+"""Helpers that the corpus operators share: scratch tables, vectorised word hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.ship import ship
+from skein.sources.scratch import Stored, store  # noqa: F401  the operators take them from here
+
 #: Texts go to Python in batches of this many rows, which keeps a worker's memory small even where texts are long.
 BATCH_ROWS = 512
-
-_roots: dict[str, str] = {}
-
-
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send this package to executors whose Python can't import it, once a session."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="skein-py-")) / "skein.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for file in sorted(top.rglob("*.py")):
-                z.write(file, file.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
+#: And of about this many bytes, where Spark heeds it.
+BATCH_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on: small Arrow batches and runtime re-planning."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir, the one place that every executor can read."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:  # only where no cluster names one, as in tests
-            base = tempfile.mkdtemp(prefix="skein-")
-        _roots[app] = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _roots[app])
-    return _roots[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Stored:
-    """A written table: `df` reads it, `drop()` deletes its files once nothing reads them any more."""
-
-    def __init__(self, spark: SparkSession, path: str, df: DataFrame):
-        self.spark, self.path, self.df = spark, path, df
-
-    def drop(self) -> None:
-        _drop(self.spark, self.path)
-
-
-def store(df: DataFrame) -> Stored:
-    """Write df below the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return Stored(spark, path, spark.read.schema(df.schema).parquet(path))
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A key that equal rows share, defined for null ids too; rows of one id with different texts differ."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
-
-
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

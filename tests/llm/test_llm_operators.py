@@ -12,7 +12,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from skein.llm import bpe, decontam, graph, lines, lm, pii, quality, repeats, simhash, suffixes, toxicity, transducer, winnow
+from skein.llm import bpe, decontam, lines, lm, pii, quality, repeats, simhash, suffixes, toxicity, transducer, winnow
+from skein.operators import components as graph
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, h string, key long, score string"
