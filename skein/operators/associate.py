@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.ship import ship
+
 # The usual weights of the five measures, in the order they are added.
 WEIGHTS = {"bbox_iou": 0.25, "point_overlap": 0.35, "semantic_similarity": 0.20, "center_distance_score": 0.15, "temporal_consistency": 0.05}
 
@@ -151,6 +153,7 @@ def fold(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
             out.append((row.scene, row.obs, row.frame, action, f"obj_{i:06d}", score))
         return pd.DataFrame(out, columns=["scene", "obs", "frame", "action", "object_id", "score"])
 
+    ship(observations.sparkSession)
     return observations.groupBy("scene").applyInPandas(follow, LOG)
 
 

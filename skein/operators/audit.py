@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry as G
+from skein.sources.ship import ship
 
 LONG = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 SHORT = (0.25, 0.50, 0.75, 0.90)
@@ -108,6 +109,7 @@ def oriented_boxes(members: DataFrame, points: DataFrame, low: float = 0.02, hig
     extents are percentiles of projections on them, again aggregates.
     """
     at = members.join(points, "point")
+    ship(members.sparkSession)
     pairs = [(a, b) for i, a in enumerate(G.AXES) for b in G.AXES[i:]]
     moments = at.groupBy("id").agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(a + b) for a, b in pairs], *[F.percentile(a, F.lit(0.5)).alias(f"m{a}") for a in G.AXES], *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in G.AXES])
 

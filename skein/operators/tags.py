@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import labels as L
+from skein.sources.ship import ship
 
 # What the rule classifier knows, by category.
 SCENE_TERMS = ("bathroom", "bedroom", "corridor", "hallway", "home", "house", "indoor", "indoors", "interior", "kitchen", "living room", "office", "room", "scene")
@@ -119,6 +120,7 @@ def greedy_groups(edges: DataFrame, labels: DataFrame) -> DataFrame:
     scene's vocabulary, are followed in one task; scopes are dealt out. A later label may be
     in several groups. labels (scope, label), edges (label_a, label_b).
     """
+    ship(edges.sparkSession)
     after = edges.select(F.col("label_a").alias("label"), F.col("label_b").alias("other"))
     both = labels.join(after, "label", "left").join(labels.select("scope", F.col("label").alias("other")).withColumn("there", F.lit(True)), ["scope", "other"], "left")
     rows = both.groupBy("scope", "label").agg(F.array_sort(F.collect_set(F.when(F.col("there"), F.col("other")))).alias("later"))
@@ -139,6 +141,7 @@ def greedy_groups(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def apply_model(rows: DataFrame, model, schema: str) -> DataFrame:
     """The boundary to outside models: `model` maps an iterator of pandas batches; a batch it fails on comes back row by row, each failure in `error`."""
 
+    ship(rows.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.ship import ship
+
 # The scalar types of a PLY header, as numpy types.
 PLY_TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2",
@@ -57,6 +59,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     A file is one task's work, up to the 2 GB that Spark holds in a value; larger clouds come
     as several files.
     """
+    ship(spark)
     _, properties, _ = _header(spark, path)
     missing = [p for p in PLY_REQUIRED if p not in dict(properties)]
     if missing:
@@ -112,6 +115,7 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
                             part = values[at : at + ROWS]
                             yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([key] * len(part)), pa.array(np.arange(at, at + len(part)), pa.int64()), pa.array(part)], names=["file", "key", "place", "idx"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, key string, place bigint, idx bigint")
 
 
