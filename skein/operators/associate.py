@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -157,6 +158,30 @@ def fold(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
     return observations.groupBy("scene").applyInPandas(follow, LOG)
 
 
+def fold_stream(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
+    """fold on a stream: a scene's objects are kept between micro-batches in Spark's state store.
+
+    Within a micro-batch a scene's observations are put in order; between batches they must
+    come in order, as a queue's do.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def follow(key, batches, state):
+        scene = pickle.loads(state.get[0]) if state.exists else Scene(rules)
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["frame", "obs"]).itertuples():
+            if row.points is None or not len(row.points):
+                out.append((key[0], row.obs, row.frame, "skipped_missing_hit_points", None, None))
+            else:
+                action, i, score = scene.step(row)
+                out.append((key[0], row.obs, row.frame, action, f"obj_{i:06d}", score))
+        state.update((pickle.dumps(scene),))
+        yield pd.DataFrame(out, columns=["scene", "obs", "frame", "action", "object_id", "score"])
+
+    ship(observations.sparkSession)
+    return observations.groupBy("scene").applyInPandasWithState(follow, LOG, "scene binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def frame_events(log: DataFrame) -> DataFrame:
     """(scene, frame, events, counts): each frame's matches and new objects in order, and how many of each; skipped ones leave no event."""
     made = log.where(~F.col("action").startswith("skipped"))

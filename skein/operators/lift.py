@@ -68,6 +68,21 @@ def depth_consistent(hits: DataFrame, depth: DataFrame, absolute: float = 0.05,
     return m.where(fine & (F.abs(F.col("depth") - F.col("measured")) <= F.greatest(F.lit(absolute), F.col("measured") * relative)))
 
 
+def mask_areas(masks: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
+    """(keys…, pixels, ratio): the area of the union of masks (keys…, u, v), each pixel once, and its share of the image."""
+    return masks.select(*keys, "u", "v").distinct().groupBy(*keys).agg(F.count("*").alias("pixels"), (F.count("*") / F.lit(width * height)).alias("ratio"))
+
+
+def frame_size(frames: DataFrame) -> DataFrame:
+    """frames with width and height: the task's, else the image's, else the mask's."""
+    return frames.withColumn("width", F.coalesce("task_width", "image_width", "mask_width")).withColumn("height", F.coalesce("task_height", "image_height", "mask_height"))
+
+
+def depth_meters(pixels: DataFrame) -> DataFrame:
+    """pixels (camera, u, v, raw, depth_scale) as metres; 0 and undefined raw values measure nothing."""
+    return pixels.where((F.col("raw") > 0) & ~F.isnan(F.col("raw").cast("double"))).select("camera", "u", "v", (F.col("raw") / F.col("depth_scale")).alias("measured"))
+
+
 @dataclass(frozen=True)
 class LiftRules:
     least_hits: int = 30

@@ -168,6 +168,28 @@ e AS (SELECT label_a, label_b, least(label_a,label_b) || '|' || greatest(label_a
 SELECT * FROM e WHERE similarity >= 0.3::DOUBLE"""
 
 
+def a25_relation_counts(spark, sf_dir: str) -> DataFrame:
+    """How many repaired items each relation has, and the 30 likest pairs' least likeness."""
+    items = p14_similarity_repair(spark, sf_dir)
+    top = items.orderBy(F.desc("similarity"), "label_a", "label_b").limit(30).agg(F.min("similarity").alias("least_of_top"))
+    return items.groupBy("relation").agg(F.count("*").alias("n")).crossJoin(F.broadcast(top))
+
+
+QUERIES["a25_relation_counts"] = a25_relation_counts
+SQL["a25_relation_counts"] = "WITH i AS (" + SQL["p14_similarity_repair"] + "), t AS (SELECT min(similarity) AS least_of_top FROM (SELECT similarity FROM i ORDER BY similarity DESC, label_a, label_b LIMIT 30)) SELECT relation, count(*)::BIGINT AS n, any_value(least_of_top) AS least_of_top FROM i, t GROUP BY relation"
+
+
+def w11_first_distinct(spark, sf_dir: str) -> DataFrame:
+    """Each customer's order priorities, each once, in the order they first came."""
+    o = P.read(spark, sf_dir, "orders")
+    each = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    return o.groupBy("o_custkey").agg(F.array_join(F.array_distinct(F.transform(each, lambda e: e["o_orderpriority"])), ",").alias("priorities"))
+
+
+QUERIES["w11_first_distinct"] = w11_first_distinct
+SQL["w11_first_distinct"] = "WITH f AS (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) SELECT o_custkey, string_agg(p, ',' ORDER BY k) AS priorities FROM f GROUP BY o_custkey"
+
+
 def p15_group_repair(spark, sf_dir: str) -> DataFrame:
     """Groups as a model might return them, made from suppliers and parts: unknown labels, repeats, single members, odd types."""
     known = part_labels(spark, sf_dir).where(F.length("label") % 3 > 0)

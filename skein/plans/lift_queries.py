@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from skein.functions import labels as L
 from skein.operators import associate as S
 from skein.operators import lift as X
 from skein.plans import proxies as P
+from skein.sources.scratch import scratch_root
+from skein.streaming.tasks import run_once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,6 +88,30 @@ SELECT c_custkey AS frame, state AS task_state, CASE WHEN task IS NULL THEN 'mis
  WHEN task % 3 = 0 THEN 'missing_frame_size' ELSE 'processed' END AS status FROM customer LEFT JOIN k ON k.frame = c_custkey"""
 
 
+def a10_mask_union(spark, sf_dir: str) -> DataFrame:
+    """The area that each camera's masks cover together, masks of several observations sharing pixels."""
+    pixels = _seen(spark, sf_dir).select("camera", "u", "v")
+    wide = pixels.select("camera", F.explode(F.sequence(F.col("u") - 1, F.col("u") + 1)).alias("u"), "v")
+    return X.mask_areas(wide.unionByName(pixels), 640, 480, "camera")
+
+
+QUERIES["a10_mask_union"] = a10_mask_union
+SQL["a10_mask_union"] = "WITH " + _V_SEEN + ", w AS (SELECT DISTINCT camera, u + d AS u, v FROM seen, (SELECT unnest([-1,0,1]) AS d)) SELECT camera, count(*)::BIGINT AS pixels, count(*)::DOUBLE / 307200 AS ratio FROM w GROUP BY camera"
+
+
+def s12_frame_size(spark, sf_dir: str) -> DataFrame:
+    """Frame sizes from tasks, else images, else masks, made from customers."""
+    c = P.read(spark, sf_dir, "customer")
+    pick = lambda n, value: F.when(F.col("c_custkey") % n == 0, F.lit(value))
+    f = c.select("c_custkey", pick(2, 640).alias("task_width"), pick(2, 480).alias("task_height"), pick(3, 1280).alias("image_width"), pick(3, 720).alias("image_height"), pick(5, 320).alias("mask_width"), pick(5, 240).alias("mask_height"))
+    return X.frame_size(f).select("c_custkey", "width", "height")
+
+
+QUERIES["s12_frame_size"] = s12_frame_size
+SQL["s12_frame_size"] = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 640 WHEN c_custkey % 3 = 0 THEN 1280 WHEN c_custkey % 5 = 0 THEN 320 END AS width,
+ CASE WHEN c_custkey % 2 = 0 THEN 480 WHEN c_custkey % 3 = 0 THEN 720 WHEN c_custkey % 5 = 0 THEN 240 END AS height FROM customer"""
+
+
 def f23_voxels(spark, sf_dir: str) -> DataFrame:
     """Points in each voxel."""
     g = P.gaussians(spark, sf_dir)
@@ -166,9 +194,9 @@ r AS (SELECT *, a*0.5::DOUBLE + p*0.375::DOUBLE + t*0.125::DOUBLE AS raw FROM s)
 SELECT obs, floor(t*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS time, floor(p*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS place, floor((CASE WHEN a < 0.35::DOUBLE THEN least(raw, 0.35::DOUBLE-1e-6::DOUBLE) ELSE raw END)*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS score FROM r"""
 
 
-def scene_observations(spark, sf_dir: str) -> DataFrame:
+def scene_observations(spark, sf_dir: str, observations: DataFrame | None = None) -> DataFrame:
     """Observations of each user as a scene, with boxes of half a unit and ten points, every 97th without points."""
-    o = P.observations(spark, sf_dir)
+    o = P.observations(spark, sf_dir) if observations is None else observations
     box = lambda s: F.array(*[F.col(f"c{a}") + F.lit(0.25 * s) for a in "xyz"])
     points = F.when(F.col("obs") % 97 > 0, F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("user") * 100 + F.col("k") + i))
     return o.select(F.col("user").alias("scene"), "obs", "frame", "label", box(-1).alias("low"), box(1).alias("high"), F.array("cx", "cy", "cz").alias("center"), points.alias("points"), (F.col("value") / 100).alias("score"))
@@ -189,6 +217,17 @@ def a17_frame_events(spark, sf_dir: str) -> DataFrame:
 QUERIES["a17_frame_events"] = a17_frame_events
 
 
+def t05_stream_association(spark, sf_dir: str) -> DataFrame:
+    """The association as a stream over the events' file, objects kept as state."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = f"{scratch_root(spark)}/fold-{uuid.uuid4().hex}"
+    return run_once(S.fold_stream(scene_observations(spark, sf_dir, P.event_observations(stream))), out + "/checkpoint", out + "/rows")
+
+
+QUERIES["t05_stream_association"] = t05_stream_association
+
+
 def a13_running_mean(spark, sf_dir: str) -> DataFrame:
     """The running mean of a user's values, as whole millionths, and the union of their points so far."""
     w = Window.partitionBy("user").orderBy("frame", "obs").rowsBetween(Window.unboundedPreceding, 0)

@@ -92,7 +92,10 @@ V_DETECTION = """v_detection AS (
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observations: hours since the start as frames, the event type as label, places from user and k."""
-    e = read(spark, sf_dir, "events")
+    return event_observations(read(spark, sf_dir, "events"))
+
+
+def event_observations(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     frame = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 - 1704067200) / 3600).cast("bigint")
     return e.select(

@@ -111,6 +111,18 @@ QUERIES["t07_pending_manifest"] = t07_pending_manifest
 SQL["t07_pending_manifest"] = P.with_views(P.V_TASK) + " SELECT task, frame, printf('task_%06d_frame_%06d.json', task, frame) AS file FROM v_task WHERE state = 'pending'"
 
 
+def s16_image_inputs(spark, sf_dir: str) -> DataFrame:
+    """Images named by parts, then those of done and pending tasks that have one, 700 at most."""
+    listed = P.read(spark, sf_dir, "part").select(F.concat(F.lit("/one/"), F.col("p_partkey")).alias("image"))
+    queue = P.tasks(spark, sf_dir).withColumn("image", F.when(F.col("task") % 4 > 0, F.format_string("/q/frame_%06d.png", "task")))
+    return T.image_inputs(listed, queue, ("done", "pending"), 700)
+
+
+QUERIES["s16_image_inputs"] = s16_image_inputs
+SQL["s16_image_inputs"] = P.with_views(P.V_TASK) + """ SELECT '/one/' || p_partkey AS image, NULL::BIGINT AS frame, 'listed' AS source FROM part
+UNION ALL SELECT * FROM (SELECT printf('/q/frame_%06d.png', task), frame, 'queue' FROM v_task WHERE state IN ('done','pending') AND task % 4 > 0 ORDER BY 1, 2 LIMIT 700)"""
+
+
 def p21_task_selection(spark, sf_dir: str) -> DataFrame:
     """Tasks named by customers, in the customers' order; one that isn't there would be an error. The missing of another list are reported."""
     t = P.tasks(spark, sf_dir)

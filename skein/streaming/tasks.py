@@ -62,6 +62,13 @@ def select_tasks(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.withColumn("state", there)
 
 
+def image_inputs(listed: DataFrame, queue: DataFrame, states: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """(image, frame, source): images given by name, then those of queued tasks in the states, without tasks that have none; at most `most` of the queue's."""
+    queued = queue.where(F.col("state").isin(*states) & F.col("image").isNotNull()).select("image", "frame", F.lit("queue").alias("source"))
+    queued = queued.orderBy("image", "frame").limit(most) if most is not None else queued
+    return listed.select("image", F.lit(None).cast("bigint").alias("frame"), F.lit("listed").alias("source")).unionByName(queued)
+
+
 def rewrite_paths(tasks: DataFrame, root: str) -> DataFrame:
     """tasks (image, image_relative, depth, depth_relative) with both paths below root and whether a path changed.
 

@@ -276,3 +276,22 @@ def test_scene_pieces(spark):
     e = scene.edge_points(boxes(spark, box(1, 0.0, 2.0)), 3).collect()
     assert len(e) == 36 and all(max(abs(r.x), abs(r.y), abs(r.z)) == 1.0 for r in e)
     assert scene.public(spark.createDataFrame([(1, 2)], "a int, _b int")).columns == ["a"]
+
+
+def test_stream_fold_equals_batch(spark, tmp_path):
+    from skein.streaming.tasks import run_once
+
+    rng = random.Random(3)
+    rows = [observation(i, i // 3, rng.choice(["cup", "lamp", "red cup"]), rng.choice([0.0, 0.1, 5.0]), list(range(rng.randrange(5))) or None, scene=i % 2) for i in range(60)]
+    for n in range(3):  # three files, read one a micro-batch, in the order of their frames
+        spark.createDataFrame(rows[20 * n : 20 * n + 20], OBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame([], OBS).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_once(associate.fold_stream(stream), str(tmp_path / "cp"), str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, associate.fold(spark.createDataFrame(rows, OBS)).collect()))
+
+
+def test_mask_area_and_depth(spark):
+    m = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (1, 1, 0), (2, 3, 3)], "f int, u int, v int")
+    assert {r.f: (r.pixels, r.ratio) for r in lift.mask_areas(m, 4, 4, "f").collect()} == {1: (2, 0.125), 2: (1, 0.0625)}
+    d = spark.createDataFrame([(0, 0, 0, 1500, 1000.0), (0, 1, 0, 0, 1000.0)], "camera int, u int, v int, raw int, depth_scale double")
+    assert [r.measured for r in lift.depth_meters(d).collect()] == [1.5]
