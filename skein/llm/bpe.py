@@ -272,9 +272,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     tokenizer is the path of a byte-level BPE file, which only the driver reads. Special
     tokens' literals in a text become their ids; none are added. Repeated rows are encoded
-    each; an empty table stays empty; docs must not have a column ids of its own.
+    each; an empty table stays empty; a column ids of docs is replaced.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("ids")
     shared = _shared(docs, tokenizer)
     at = docs.columns.index("text")
 
@@ -291,6 +292,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """rows with `decoded`, the text of their `ids`; null ids give an empty text, bytes that aren't UTF-8 the replacement sign."""
     prepare(rows.sparkSession)
+    rows = rows.drop("decoded")
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer).tokens)
     at = rows.columns.index("ids")
 

@@ -64,17 +64,18 @@ def line_dedup(docs: DataFrame, lines_as: str = "n_lines", dropped_as: str = "n_
     10 code points or more that two different doc_ids hold stays in the smallest of them and
     goes elsewhere, each occurrence. A null or empty text is one empty line. Rows without an
     id count as one document that comes after all others. Repeated rows are treated alike
-    and stay repeated. Other columns pass through; an empty table stays empty. The names of
-    the counts can be chosen, for tables that have such columns.
+    and stay repeated. Other columns pass through; an empty table stays empty. Columns
+    named like the counts are replaced, unless other names are given for these.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop(lines_as, dropped_as)
     at = docs.columns.index("text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = store(docs.select("doc_id", "text").mapInArrow(_hashes, f"doc_id {id_type}, h binary")).df
     keys = held.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("without"))
     shared = store(keys.where((F.col("keeper") != F.col("last")) | (F.col("without") & F.col("keeper").isNotNull())).select("h", "keeper")).df  # written, so that Spark can split a hot line's join
     falls = held.join(shared, "h").where("doc_id is null or doc_id <> keeper").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__drops"))
-    joined = docs.join(falls, docs["doc_id"].eqNullSafe(falls["__id"]), "left").select(*[docs[c] for c in docs.columns], "__drops")
+    joined = docs.join(falls, docs["doc_id"].eqNullSafe(falls["__id"]), "left").select(*[docs[c] for c in docs.columns], falls["__drops"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{lines_as}` bigint, `{dropped_as}` bigint"
     return joined.mapInArrow(_dropper([*docs.columns, lines_as, dropped_as], at, len(docs.columns)), schema)
 

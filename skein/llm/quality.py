@@ -154,9 +154,10 @@ def fit(texts: list[bytes], labels: list[int]) -> Network:
 
 
 def score_documents(docs: DataFrame, net: Network, score_as: str = "score") -> DataFrame:
-    """docs with the probability of quality for each row's whole text; null texts count as empty. Other columns pass through."""
+    """docs with the probability of quality for each row's whole text; null texts count as empty. Other columns pass through; one named like the score is replaced."""
     spark = docs.sparkSession
     prepare(spark)
+    docs = docs.drop(score_as)
     shared = spark.sparkContext.broadcast(net)  # 200 kB by WIDTH and FILTERS
     at = docs.columns.index("text")
 

@@ -127,10 +127,12 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 def score_documents(docs: DataFrame, model: Model, score_as: str = "score") -> DataFrame:
     """docs with a probability of toxicity for each row's whole text; null texts count as empty.
 
-    Only term presence counts, so repeated text changes nothing. Other columns pass through.
+    Only term presence counts, so repeated text changes nothing. Other columns pass
+    through; one named like the score is replaced.
     """
     spark = docs.sparkSession
     prepare(spark)
+    docs = docs.drop(score_as)
     shared = spark.sparkContext.broadcast(model)  # about 4 MB by BUCKET_BITS, TERMS and FACTORS, whatever the input
     at = docs.columns.index("text")
 

@@ -126,6 +126,7 @@ def test_op3_matches_sql(spark):
 
 def test_op3_odd_rows(spark, odd, empty):
     df = odd.unionByName(spark.createDataFrame([(50, "  SHARED line one \nown", "", "", 1, ""), (40, "shared LINE one\nshared line one\n\n", "", "", 1, ""), (None, "shared line one", "", "", 1, "")], SCHEMA))
+    assert lines.line_dedup(odd, "h", "key").columns == [*[c for c in odd.columns if c not in ("h", "key")], "h", "key"]
     got = lines.line_dedup(df, "lines_", "gone_")
     assert got.columns == [*df.columns, "lines_", "gone_"]
     by = {(r.doc_id, r.gone_): r.text for r in got.collect() if r.doc_id in (None, 40, 50)}
@@ -142,8 +143,8 @@ def test_classifiers(spark, odd, empty, module, name, odd_class):
     held = module.score_documents(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(fold).collect()
     right = sum((r.score >= module.THRESHOLD) == (r[name] == 1) for r in held)
     assert right / len(held) > 0.9
-    scored = module.score_documents(odd, model, "p").collect()
-    assert len(scored) == odd.count() and all(0 <= r.p <= 1 for r in scored)
+    scored = module.score_documents(odd, model).collect()  # replaces odd's own column of that name
+    assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
     assert module.score_documents(empty, model, "p").count() == 0
     assert 0 <= module.probability(module.fit([], []), [b"x"])[0] <= 1
 
@@ -366,7 +367,7 @@ def test_op10_against_tokenizers(spark, odd, empty):
         want.append((r.doc_id or 0, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert sorted((r.doc_id or 0, *r[1:]) for r in got) == sorted(want)
     assert bpe.encode_digests(empty, path).count() == 0
-    both = bpe.decode(bpe.encode(df, path), path).collect()
+    both = bpe.decode(bpe.encode(df.withColumnRenamed("h", "ids").withColumnRenamed("key", "decoded"), path), path).collect()
     assert all(r.decoded == (r.text or "") for r in both)
 
 
