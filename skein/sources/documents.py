@@ -88,7 +88,7 @@ def prompts_of(frames: DataFrame, prompts: DataFrame) -> DataFrame:
     """(frame_stem, prompt): a frame's own prompts if it has any, else those of all."""
     own = frames.join(prompts.where("frame_stem is not null"), "frame_stem")
     without = frames.join(own.select("frame_stem").distinct(), "frame_stem", "left_anti")
-    return own.select("frame_stem", "prompt").unionByName(without.crossJoin(F.broadcast(prompts.select("prompt").distinct())).select("frame_stem", "prompt"))
+    return own.select("frame_stem", "prompt").unionByName(without.crossJoin(prompts.select("prompt").distinct()).select("frame_stem", "prompt"))
 
 
 def json_inside(text: Column) -> Column:
