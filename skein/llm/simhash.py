@@ -212,7 +212,7 @@ def exact_edges(fps: DataFrame, radius: int) -> DataFrame:
     word = F.col("fp")[0]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), word.bitwiseAND(F.lit(_mask(b))).alias("v")) for t, b in enumerate(tables)])).alias("k"))
     keyed = keyed.select("fp", "k.t", "k.v")
-    hot = keyed.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).drop("n")
+    hot = store(keyed.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).drop("n")).df  # written, so that Spark can split a hot block's joins
     plain = keyed.join(hot, ["t", "v"], "left_anti").select(F.xxhash64("t", "v").alias("key"), "fp")
     finer: Column = F.lit(None).cast("array<struct<s:int,w:bigint>>")
     for t, kept in enumerate(tables):
@@ -230,7 +230,7 @@ def banded_edges(fps: DataFrame, radius: int, words: int) -> DataFrame:
     of their own, so that no task holds it whole; no pair of it is lost.
     """
     keyed = fps.select("fp", F.posexplode("bands").alias("t", "v")).select("fp", F.xxhash64("t", "v").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = store(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).df  # written, as above
     dealt = keyed.join(sizes, "key").withColumn("s", F.ceil(F.col("n") / BLOCK_ROWS))
     plain = dealt.where("s = 1").select("key", "fp")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s"))
