@@ -26,7 +26,7 @@ from skein.llm.transducer import Transducer, compile_words
 #: Words of the corpus that go into the lexicon, at most: those of the highest counts.
 LEXICON_WORDS = 32768
 #: Words that a worker remembers, and that a counting task holds before it hands its counts on.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 700_000
 #: Characters of text whose words are looked up together.
 GROUP_CHARS = 4_000_000
 #: Longer words are merged one by one, with a heap.
