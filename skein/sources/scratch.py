@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
@@ -17,15 +19,22 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-")
         _roots[app] = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
-        atexit.register(drop_path, spark, _roots[app])
+        atexit.register(_at_exit, spark, _roots[app])
     return _roots[app]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a path of any store; works after the session was stopped, too."""
+    context = spark.sparkContext
+    jvm = context._jvm
+    conf = context._jsc.hadoopConfiguration() if context._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Py4JError, OSError, AttributeError):  # the engine may be gone by now; then its host clears the folder
+        drop_path(spark, path)
 
 
 class Stored:
