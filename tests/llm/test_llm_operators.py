@@ -371,17 +371,56 @@ def test_op10_against_tokenizers(spark, odd, empty):
     assert all(r.decoded == (r.text or "") for r in both)
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, held against a plain version of it."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, SMALL)
-        if name != "BPE":
-            assert after.columns == docs.columns
-        ids = {r.doc_id for r in before.select("doc_id").collect()}
-        kept = {r.doc_id for r in after.select("doc_id").collect()}
-        assert kept <= ids and (kept == ids or name in ("toxicity", "near copies", "decontamination"))
-        before = after
-    assert corpus_pipeline.run(spark, SMALL).count() == len(kept)
+    items = [decontam.normalise(r.text.encode()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    steps = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(k)))
+        before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
+        assert name == "BPE" or docs.columns == before.columns
+        steps[name] = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in docs.collect()}
+
+    old, new = steps["toxicity"]
+    labels = toxicity.read_labels(spark, SMALL)
+    p = toxicity.probability(toxicity.train(spark.read.parquet(f"{SMALL}/documents.parquet"), labels), [r.text.encode() for r in old.values()])
+    assert set(new) == {i for i, q in zip(old, p, strict=True) if q < toxicity.THRESHOLD}
+
+    old, new = steps["line dedup"]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
+    holders = collections.defaultdict(set)
+    for i, r in old.items():
+        for line in r.text.split("\n"):
+            holders[key(line)].add(i)
+    for i, r in old.items():
+        kept = [x for x in r.text.split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == i]
+        assert new[i].text == "\n".join(kept) and new[i].n_chars == len(new[i].text)
+
+    old, new = steps["near copies"]
+    shingles = {}
+    for i, r in old.items():
+        w = r.text.encode().lower().split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    like = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a in old for b in old if a < b}
+    root = components([p for p, j in like.items() if j >= 0.85], old)
+    assert all(sum(root[i] == g for i in new) <= 1 for g in set(root.values()))
+    best = {i: max(j for p, j in like.items() if i in p) for i in old}
+    assert all(i in new for i in old if best[i] < 0.5)
+
+    old, new = steps["decontamination"]
+    texts = {i: decontam.normalise(r.text.encode()) for i, r in old.items()}
+    leaked = {i for i, t in texts.items() if any(x in t for x in items)}
+    assert not leaked & set(new)
+    for i in set(old) - set(new) - leaked:
+        assert any(edit_distance_inside(x, texts[i]) <= decontam.budget(len(x)) for x in items)
+
+    old, new = steps["BPE"]
+    reference = Tokenizer.from_file(bpe.tokenizer_path())
+    for i, r in old.items():
+        ids = reference.encode(r.text, add_special_tokens=False).ids
+        assert new[i].n_tokens == len(ids) and new[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert {tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()} == {tuple(r) for r in new.values()}
