@@ -11,6 +11,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontam, lines, lm, pii, quality, repeats, simhash, suffixes, toxicity, transducer, winnow
 from skein.operators import components as graph
@@ -192,6 +193,16 @@ def test_filter_levels(spark):
     assert (model.levels(np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) == 0).mean() > 0.95
 
 
+def test_filter_holds_every_entry(spark):
+    """24.8 million levels: more than a filter of 32 MB has room for."""
+    grams = spark.range(400_000).select(F.lit(2).alias("kind"), F.xxhash64("id").alias("h"), F.lit(10**9).alias("n").cast("long"))
+    h = np.array([r.h for r in grams.select("h").limit(500).collect()]).view(np.uint64)
+    model = lm.build_filter(grams, 1, 1)
+    q = model.levels(h)
+    assert (q >= lm.level(np.array([10**9]))).all() and (q == lm.level(np.array([10**9]))).mean() > 0.9
+    assert (model.levels(h ^ np.uint64(0xABCDEF)) == 0).mean() > 0.9
+
+
 def brute_winnow(text, k=winnow.K, w=winnow.WINDOW):
     words = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     return words, max(0, len(words) - k + 1 if len(words) >= k else bool(words)), w
