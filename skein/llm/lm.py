@@ -141,13 +141,12 @@ def _counter(part_bits: int):
 
 
 def _builder(part_bits: int):
-    """Adds up each part, whose rows come together, by kind, and builds its filter; pairs seen once are not kept."""
+    """Adds up each part, whose rows come together, by kind, and builds its filter of all tokens and pairs."""
 
     def emit(part: int, held: dict) -> pa.RecordBatch:
         both = {k: _count(np.concatenate([x for x, _ in rows]), np.concatenate([x for _, x in rows])) for k, rows in held.items()}
         h, n = both.get(1, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         h2, n2 = both.get(2, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        h2, n2 = h2[n2 > 1], n2[n2 > 1]
         bits = filter_part(_key(np.concatenate([h, h2]), part_bits), level(np.concatenate([n, n2])))
         values = [part, h.tobytes(), n.astype("<i8").tobytes(), int(n.sum()), len(h), bits.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "h", "n", "total", "distinct", "bits"])

@@ -203,6 +203,13 @@ def test_filter_holds_every_entry(spark):
     assert (model.levels(h ^ np.uint64(0xABCDEF)) == 0).mean() > 0.9
 
 
+def test_op4_counts_pairs_seen_once(spark):
+    """Each of three tokens and each pair once: p = (1 + 200 * 0.3) / 201 after the first."""
+    df = spark.createDataFrame(rows("the cat"), SCHEMA)
+    got = lm.lm_scores(df, df).first()
+    assert abs(got.score - (math.log10(0.3) + 2 * math.log10(61 / 201))) < 1e-9
+
+
 def brute_winnow(text, k=winnow.K, w=winnow.WINDOW):
     words = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     return words, max(0, len(words) - k + 1 if len(words) >= k else bool(words)), w
