@@ -154,22 +154,26 @@ def _lowest(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def _compare(radius: int, words: int):
-    """For rows (key, fp) sorted by key: edges (a, b) that connect what is linked within each key's run."""
+def _compare(radius: int, words: int, named: int = 0):
+    """For rows (key, fp) sorted by key: edges (a, b) that connect what is linked within each key's run.
+
+    With named, that many more longs follow a fingerprint's words, and edges are between these.
+    """
 
     def solve(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         end = np.repeat(start + size, size)
-        label = _lowest(len(key), links(fps, np.repeat(start, size), end, radius))
+        label = _lowest(len(key), links(fps[:, :words], np.repeat(start, size), end, radius))
         own = np.flatnonzero(label != np.arange(len(key)))
-        as_list = lambda x: pa.array(x.view(np.int64).tolist(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([as_list(fps[own]), as_list(fps[label[own]])], names=["a", "b"])
+        name = fps[:, words:] if named else fps
+        as_list = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64).tolist(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([as_list(name[own]), as_list(name[label[own]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+        keys, held = np.zeros(0, np.int64), np.zeros((0, words + named), np.uint64)
         for batch in batches:
-            fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words + named)
             keys, held = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([held, fps])
             if len(keys) >= CHUNK_ROWS:
                 cut = int(np.searchsorted(keys, keys[-1]))
@@ -193,9 +197,9 @@ def _mask(bits: list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _edges(rows: DataFrame, radius: int, words: int) -> DataFrame:
+def _edges(rows: DataFrame, radius: int, words: int, named: int = 0) -> DataFrame:
     """rows (key long, fp): rows of a key meet, sorted, and are compared there."""
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").select("key", "fp").mapInArrow(_compare(radius, words), "a array<bigint>, b array<bigint>")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").select("key", "fp").mapInArrow(_compare(radius, words, named), "a array<bigint>, b array<bigint>")
 
 
 def exact_edges(fps: DataFrame, radius: int) -> DataFrame:
@@ -223,8 +227,8 @@ def exact_edges(fps: DataFrame, radius: int) -> DataFrame:
     return _edges(plain.unionByName(split), radius, 1)
 
 
-def banded_edges(fps: DataFrame, radius: int, words: int) -> DataFrame:
-    """Edges that connect fingerprints within radius bits among those that share a band key (fp, bands distinct).
+def banded_edges(fps: DataFrame, radius: int, words: int, named: int = 0) -> DataFrame:
+    """Edges that connect fingerprints within radius bits among those that share a band key (fp, bands distinct); named: see _compare.
 
     A band of more than BLOCK_ROWS rows is dealt into chunks that meet two by two in tasks
     of their own, so that no task holds it whole; no pair of it is lost.
@@ -236,7 +240,7 @@ def banded_edges(fps: DataFrame, radius: int, words: int) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s"))
     split = dealt.where("s > 1").withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)))
     split = split.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fp")
-    return _edges(plain.unionByName(split), radius, words)
+    return _edges(plain.unionByName(split), radius, words, named)
 
 
 def simhash_components(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFrame:
@@ -263,21 +267,48 @@ def simhash_components(docs: DataFrame, ngram: int = 3, radius: int = 2) -> Data
 NEAR_WORDS, NEAR_RADIUS, NEAR_BANDS, NEAR_ROWS = 4, 45, 20, 5
 
 
+def _node(shingles: np.ndarray) -> list[int]:
+    """128 bits of a set of shingles (sorted, distinct), as two longs."""
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+
+
+def with_nodes(docs: DataFrame, ngram: int) -> DataFrame:
+    """(doc_id, x long, node array<long>, fp array<long>, bands array<long>) of each row: x of its id and text, the rest of its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, keys = [], [], []
+            for text in binary(batch.column(2)):
+                h = np.unique(shingle_hashes(text, ngram))
+                nodes.append(_node(h))
+                fps.append(fingerprint(h, NEAR_WORDS).view(np.int64).tolist())
+                keys.append(np.array(_bands(h, NEAR_BANDS, NEAR_ROWS), dtype=np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in (nodes, fps, keys))], names=["doc_id", "x", "node", "fp", "bands"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x bigint, node array<bigint>, fp array<bigint>, bands array<bigint>"
+    return docs.select("doc_id", _row_hash(), "text").mapInArrow(run, schema)
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text").alias("x")
+
+
 def near_copies(docs: DataFrame, ngram: int = 5, radius: int = NEAR_RADIUS) -> DataFrame:
     """(doc_id, component_id) of each row: groups of texts alike in 0.8 or more of their five-word shingles.
 
-    Four SimHash words a text; texts that share one of 20 keys of five minima meet in a
-    block, which a pair of likeness 0.8 does with a chance of 0.9996, and are compared there
-    through bit planes. Equal texts always share a group. Nulls, empty tables and repeated
+    Texts of the same set of shingles are one node, with four SimHash words of that set; nodes
+    that share one of 20 keys of five minima meet in a block, which a pair of likeness 0.8
+    does with a chance of 0.9996, and are compared there through bit planes. Equal texts
+    always share a group. Nulls, empty tables and repeated
     rows: as in simhash_components.
     """
     prepare(docs.sparkSession)
-    own = store(with_fingerprints(docs, ngram, NEAR_WORDS, NEAR_BANDS, NEAR_ROWS)).df
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(banded_edges(own.select("fp", "bands"), radius, NEAR_WORDS))
-    named = store(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))).df
+    own = store(with_nodes(docs, ngram)).df
+    nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("x").alias("x"))).df
+    roots = connected_components(banded_edges(own.select(F.concat("fp", "node").alias("fp"), "bands"), radius, NEAR_WORDS, 2))
+    named = store(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).df
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return own.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -118,6 +118,16 @@ def test_near_copies_keep_one(spark, odd, monkeypatch):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 7]
 
 
+def test_near_copies_of_repeated_words(spark):
+    """A run of one word makes unrelated texts no copies, and a repeated passage leaves texts of the same shingles copies."""
+    own = lambda k: " ".join(f"t{k}w{i}" for i in range(104))
+    texts = [own(k) + " dash" * 300 for k in range(4)]
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts += [own(9) + " " + passage, own(9) + f" {passage}" * 30]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
 def test_op3_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
