@@ -262,9 +262,9 @@ def simhash_components(docs: DataFrame, ngram: int = 3, radius: int = 2) -> Data
     return own.join(by_fp, "fp").select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
 
 
-#: For near copies on word shingles: share of 256 bits that may differ at a Jaccard likeness of 0.8,
-#: whose cosine is 2 * 0.8 / 1.8: 256 * acos(0.889) / pi = 39, and one standard deviation more.
-NEAR_WORDS, NEAR_RADIUS, NEAR_BANDS, NEAR_ROWS = 4, 45, 20, 5
+#: For near copies on word shingles: of 256 bits 39 differ on average at a Jaccard likeness of 0.8, and
+#: 48 where it is 4 shingles of 5, with a deviation of 6; the radius leaves five of these more, as links are verified.
+NEAR_WORDS, NEAR_RADIUS, NEAR_BANDS, NEAR_ROWS = 4, 80, 20, 5
 
 
 def _node(shingles: np.ndarray) -> list[int]:
@@ -293,19 +293,122 @@ def _row_hash() -> Column:
     return F.xxhash64("doc_id", "text").alias("x")
 
 
+def _alike(shared: np.ndarray | int, sizes: np.ndarray | int) -> np.ndarray | bool:
+    """Likeness 0.8 or more, exactly, from the shared shingles and the sum of both sets' sizes."""
+    return 9 * shared >= 4 * sizes
+
+
+def _with_sets(ngram: int):
+    """(node, root, shingles) of rows (node, root, text) whose text has that node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, ngram)) for t in binary(batch.column(2))]
+            own = [_node(h) == node for h, node in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "root", "shingles"]).filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each row's set is alike to that of its group's first node."""
+    for batch in batches:
+        near = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            near.append(bool(_alike(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=["node", "root", "shingles", "near"])
+
+
+class _Chunk:
+    """The sets at home in a chunk, by shingle; those near their group's first node count as connected."""
+
+    def __init__(self, rows: list[tuple]):
+        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
+        self.nodes, self.size = [r[0] for r in rows], np.array([len(x) for x in sets], np.int64)
+        value, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rows)), self.size)
+        order = np.argsort(value, kind="stable")
+        self.value, self.owner = value[order], owner[order]
+        led = [i for i, r in enumerate(rows) if r[2]]
+        self.group = np.arange(len(rows))
+        self.group[led] = led[0] if led else 0
+
+    def link(self, node: list[int], shingles: bytes) -> Iterator[tuple[list[int], list[int]]]:
+        """Edges of a node to one node of each connected group with a set alike, which join into one."""
+        s = np.frombuffer(shingles, np.uint64)
+        low, high = np.searchsorted(self.value, s, "left"), np.searchsorted(self.value, s, "right")
+        n = high - low
+        place = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(s) else np.zeros(0, np.int64)
+        shared = np.bincount(self.owner[place], minlength=len(self.nodes))
+        groups, first = np.unique(self.group[hit := np.flatnonzero(_alike(shared, self.size + len(s)))], return_index=True)
+        for i in hit[first].tolist():
+            yield node, self.nodes[i]
+        if len(groups) > 1:
+            self.group[np.isin(self.group, groups)] = groups[0]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (key, visits, node, shingles, near) by key, those at home before visitors: edges of what is alike to a row not near."""
+    now, home, chunk = None, [], None
+
+    def settle():
+        chunk = _Chunk(home)
+        return chunk, [e for r in home if not r[2] for e in chunk.link(r[0], r[1])]
+
+    for batch in batches:
+        found = []
+        for key, visits, node, shingles, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                if home and chunk is None:
+                    found += settle()[1]
+                now, home, chunk = key, [], None
+            if not visits:
+                home.append((node, shingles, near))
+                continue
+            if chunk is None:
+                chunk, edges = settle()
+                found += edges
+            found += chunk.link(node, shingles)
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.list_(pa.int64())) for k in (0, 1)], names=["a", "b"])
+    if home and chunk is None:
+        found = settle()[1]
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.list_(pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+
+def verified_edges(docs: DataFrame, maybe: DataFrame, ngram: int) -> DataFrame:
+    """Edges that connect all nodes of a group of maybe (node, x, root) whose sets of shingles are alike in 0.8 or more.
+
+    Each set is made anew from one text. Sets alike to that of the group's root are linked
+    to it; only the others are compared with all of their group, in chunks of BLOCK_ROWS rows
+    that they visit, so a group of copies of one text costs no more than its rows.
+    """
+    reps = docs.select(_row_hash(), "text").join(maybe, "x").select("node", "root", "text")
+    sets = store(reps.mapInArrow(_with_sets(ngram), "node array<bigint>, root array<bigint>, shingles binary").dropDuplicates(["node"])).df
+    first = sets.where("node = root").select("root", F.col("shingles").alias("leads"))
+    judged = store(sets.join(first, "root").select("node", "root", "shingles", "leads").mapInArrow(_led, "node array<bigint>, root array<bigint>, shingles binary, near boolean")).df
+    sizes = store(judged.groupBy("root").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("others")).where("others > 0").select("root", F.ceil(F.col("n") / BLOCK_ROWS).alias("s"))).df
+    rows = judged.join(sizes, "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")))
+    home = rows.withColumn("o", F.col("c"))
+    away = rows.where(~F.col("near") & (F.col("s") > 1)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1))).where("o <> c")
+    met = home.unionByName(away).select(F.xxhash64("root", "o").alias("key"), (F.col("o") != F.col("c")).alias("visits"), "node", "shingles", "near")
+    edges = met.repartition("key").sortWithinPartitions("key", "visits").mapInArrow(_verify, "a array<bigint>, b array<bigint>")
+    return judged.where("near and node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges)
+
+
 def near_copies(docs: DataFrame, ngram: int = 5, radius: int = NEAR_RADIUS) -> DataFrame:
     """(doc_id, component_id) of each row: groups of texts alike in 0.8 or more of their five-word shingles.
 
     Texts of the same set of shingles are one node, with four SimHash words of that set; nodes
     that share one of 20 keys of five minima meet in a block, which a pair of likeness 0.8
-    does with a chance of 0.9996, and are compared there through bit planes. Equal texts
-    always share a group. Nulls, empty tables and repeated
+    does with a chance of 0.9996, and are compared there through bit planes. What this may
+    connect is verified on the sets. Equal texts always share a group. Nulls, empty tables and repeated
     rows: as in simhash_components.
     """
     prepare(docs.sparkSession)
     own = store(with_nodes(docs, ngram)).df
     nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("x").alias("x"))).df
-    roots = connected_components(banded_edges(own.select(F.concat("fp", "node").alias("fp"), "bands"), radius, NEAR_WORDS, 2))
+    maybe = connected_components(banded_edges(own.select(F.concat("fp", "node").alias("fp"), "bands"), radius, NEAR_WORDS, 2))
+    roots = connected_components(verified_edges(docs, nodes.select("node", "x").join(maybe, "node"), ngram))
     named = store(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).df
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -128,6 +128,25 @@ def test_near_copies_of_repeated_words(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_near_copies_at_the_limit(spark, monkeypatch, block):
+    """Texts of 84 words against their first 68 (64 shingles of 80: 0.8) are linked, against their first 67 not; 9 words against 8 (4 of 5) are."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    word = lambda k, n: " ".join(f"k{k}w{i}" for i in range(n))
+    texts, want = [], {}
+    for k in range(60):
+        long, short = ((84, 68), (84, 67), (9, 8))[k % 3]
+        texts += [word(k, long), word(k, short)]
+        want |= {2 * k + 1: 2 * k + 1, 2 * k + 2: 2 * k + 1 + (k % 3 == 1)}
+    # two chains: in the first no text is alike to the next (88 shingles of 112), in the second each is (92 of 108), but not to the one after
+    chain = [" ".join(f"c{i}" for i in range(12 * k, 12 * k + 104)) for k in range(6)]
+    want |= {121 + k: 121 + k for k in range(6)}
+    closer = [" ".join(f"d{i}" for i in range(8 * k, 8 * k + 104)) for k in range(6)]
+    want |= {127 + k: 127 for k in range(6)}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows(*texts, *chain, *closer), SCHEMA)).collect()}
+    assert got == want
+
+
 def test_op3_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
