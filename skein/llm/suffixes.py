@@ -1,21 +1,16 @@
-"""Suffix arrays by induced sorting, a bucket at a time in numpy, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, whole runs of a type at a time in numpy, and permuted common prefixes.
+
+A suffix is smaller or larger than the one after it. The leftmost smaller suffixes (those
+after a larger one) are sorted first; the larger ones follow from them, and the smaller ones
+from the larger ones. A larger suffix is a run of larger places that ends at a leftmost
+smaller one, so its order is that of the run's symbols and then of that end's rank; runs are
+short, and all of them are ordered together, in rounds that double how much of a run counts.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings of more names than this are ranked by doubling: a bucket for each name would be as slow as a name at a time.
-RECURSE_NAMES = 2048
-
-
-def _grouped(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """values in stable order of keys, with the distinct keys, their counts, and each one's place in its group."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(first, len(keys)))
-    return values[order], keys[first], count, np.arange(len(keys)) - np.repeat(first, count)
-
 
 def _is_small(text: np.ndarray) -> np.ndarray:
     """True where the suffix is less than the next one (S-type); the last symbol, least and single, is."""
@@ -26,108 +21,101 @@ def _is_small(text: np.ndarray) -> np.ndarray:
     return np.append(np.append(step, 1)[following] > 0, True)
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Order all suffixes from the leftmost-smaller ones in the order given: larger types left to right, smaller right to left."""
-    sa = np.full(len(text), -1, np.int64)
-    seeds, chars, counts, _ = _grouped(lms, text[lms])
-    tail_of = dict(zip(chars.tolist(), zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True), strict=True))
-    head = start.copy()
-
-    def forward(block: np.ndarray) -> None:
-        j = block[block > 0] - 1
-        j = j[~small[j]]
-        if len(j):
-            j, keys, count, place = _grouped(j, text[j])
-            sa[np.repeat(head[keys], count) + place] = j
-            head[keys] += count
-
-    symbols = np.flatnonzero(end > start).tolist()
-    for c in symbols:
-        done = start[c]
-        while done < head[c]:
-            block, done = sa[done : head[c]], int(head[c])
-            forward(block)
-        if c in tail_of:
-            at, n = tail_of[c]
-            forward(seeds[at : at + n])
-    tail = end.copy()
-    # the last symbol's suffix is the least of all; it is of the smaller type and induces from the first bucket
-    for c in reversed(symbols):
-        larger = sa[start[c] : head[c]]
-
-        def backward(block: np.ndarray) -> None:
-            j = block[block > 0] - 1
-            j = j[small[j]]
-            if len(j):
-                j, keys, count, place = _grouped(j, text[j])
-                sa[np.repeat(tail[keys], count) - 1 - place] = j
-                tail[keys] -= count
-
-        if c == text[-1]:
-            tail[c] -= 1
-            sa[tail[c]] = len(text) - 1
-        done = end[c]
-        while done > tail[c]:
-            block, done = sa[tail[c] : done][::-1], int(tail[c])
-            backward(block)
-        backward(larger[::-1])
-    return sa
-
-
-def _by_doubling(ranks: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a string of names that ends in a least, single one."""
-    n, width = len(ranks), 1
-    rank = ranks.astype(np.int64)
+def _ends(flag: np.ndarray) -> np.ndarray:
+    """For each place the next one, itself included, where flag holds."""
+    n = len(flag)
+    return np.minimum.accumulate(np.where(flag, np.arange(n), n - 1)[::-1])[::-1]
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of values, which of them in order begin a new value, and for each in order how many are less."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(first)
+    return order, first, np.repeat(at, np.diff(np.append(at, len(values))))
+
+
+def _induce(symbol: np.ndarray, run: np.ndarray, end: np.ndarray, seeds: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks of the runs' places among all runs' places and seeds; places of equal symbols up to ends of equal rank share one.
+
+    symbol: twice each symbol, and 1 more for a smaller suffix. run: places of one type; end:
+    for every place the seed that ends its run. seeds have ranks already.
+    """
+    key = np.zeros(len(symbol), np.int64)
+    items = np.concatenate([run, seeds])
+    ends = end[items]
+    ends[len(run) :] = seeds
+    of_seed = np.zeros(len(symbol), np.int64)
+    of_seed[seeds] = rank + 1
+    bits, low = int(symbol.max()).bit_length(), int(rank.max(initial=0) + 1).bit_length()
+    reach = max(1, min(8, (63 - low) // bits))  # as many symbols as a number holds count at once
+    packed = symbol[items]
+    for j in range(1, reach):
+        packed = (packed << bits) | symbol[np.minimum(items + j, ends)]
+    order, _, place = _numbered((packed << low) | np.where(ends - items < reach, of_seed[ends], 0))
+    key[items[order]] = place
+    total = len(items) + 1
+    live = run
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-        rank = new
-        if rank[order[-1]] == n - 1:
-            return order
-        width *= 2
-
-
-def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """A number for each leftmost-smaller substring, in their sorted order; equal substrings share one."""
-    size = np.empty(len(text), np.int64)
-    size[lms] = np.append(np.diff(lms) + 1, 1)
-    a, b = ordered[:-1], ordered[1:]
-    same = size[a] == size[b]
-    pairs = np.flatnonzero(same)
-    length = size[a[pairs]]
-    first = np.cumsum(length) - length
-    for at in range(0, len(pairs), 1 << 18):
-        some = slice(at, at + (1 << 18))
-        n, p = length[some], pairs[some]
-        off = np.arange(n.sum()) - np.repeat(first[some] - first[at], n)
-        differs = text[np.repeat(a[p], n) + off] != text[np.repeat(b[p], n) + off]
-        same[p] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n) if len(n) else same[p]
-    return np.concatenate([[0], np.cumsum(~same)])
+        live = live[end[live] - live >= reach]  # what ends sooner has told all
+        if not len(live):
+            return key[run]
+        order, first, place = _numbered(key[live] * total + key[np.minimum(live + reach, end[live])])
+        live = live[order]
+        was = key[live]
+        group = np.flatnonzero(np.concatenate([[True], was[1:] != was[:-1]]))
+        key[live] = was + place - np.repeat(group, np.diff(np.append(group, len(live))))
+        alone = first & np.append(first[1:], True)
+        live = live[~alone]
+        reach *= 2
+
+
+def _ranks(symbol: np.ndarray, small: np.ndarray, lms: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Larger places, and the ranks of these and then of all smaller places, from ranks of the leftmost smaller ones."""
+    large = np.flatnonzero(~small)
+    of_large = _induce(symbol, large, _ends(small), lms, seeds)
+    below = np.flatnonzero(small[:-1])
+    of_small = _induce(symbol, below, _ends(~small), large, of_large)
+    return large, of_large, np.append(of_small, -1)  # the last symbol's suffix is the least of all
+
+
+def _in_order(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """places by their ranks, which are distinct."""
+    out = np.full(int(rank.max(initial=-1)) + 2, -1, np.int64)
+    out[rank + 1] = places
+    return out[out >= 0]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in order. text: whole numbers, the last a 0 that occurs nowhere else."""
-    if len(text) <= 2:
-        return np.arange(len(text))[::-1].copy()
-    end = np.cumsum(np.bincount(text))
-    start = np.concatenate([[0], end[:-1]])
+    n = len(text)
+    if n <= 2:
+        return np.arange(n)[::-1].copy()
+    text = text.astype(np.int64)
     small = _is_small(text)
+    symbol = text * 2 + small
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = _induce(text, small, lms, start, end)
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    names = _names(text, lms, ordered)
-    if names[-1] + 1 < len(lms):
-        reduced = np.empty(len(text), np.int64)
-        reduced[ordered] = names
-        reduced = reduced[lms]
-        ordered = lms[suffix_array(reduced) if names[-1] < RECURSE_NAMES else _by_doubling(reduced)]
-    return _induce(text, small, ordered, start, end)
+    smaller = np.flatnonzero(small)
+    # with ends that tell their symbol alone, the ranks of the leftmost smaller places are names of the substrings there
+    names = _ranks(symbol, small, lms, np.zeros(len(lms), np.int64))[2][np.searchsorted(smaller, lms)]
+    order, first, _ = _numbered(names)
+    reduced = np.empty(len(lms), np.int64)
+    reduced[order] = np.cumsum(first) - 1
+    if not first.all():
+        order = suffix_array(reduced)
+        reduced[order] = np.arange(len(lms))
+    large, of_large, of_small = _ranks(symbol, small, lms, reduced)
+    # of each symbol the larger suffixes come first
+    count = np.bincount(symbol, minlength=int(symbol.max()) + 1)
+    start = np.cumsum(count) - count
+    out = np.empty(n, np.int64)
+    for ordered in (_in_order(large, of_large), _in_order(smaller, of_small)):
+        own = symbol[ordered]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[start[own] + np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))] = ordered
+    return out
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -321,12 +321,17 @@ def test_op6_in_parts(spark, monkeypatch):
     assert got == {(i, i) for i in range(9)}
 
 
-@pytest.mark.parametrize("recurse", [0, 2048])
-def test_suffix_array(monkeypatch, recurse):
-    monkeypatch.setattr(suffixes, "RECURSE_NAMES", recurse)
-    rng = np.random.default_rng(recurse)
-    for n in range(150):
-        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 70)), 0) if n % 4 else np.append(np.tile([1, 2, 1], n // 4 + 1), 0)
+def test_suffix_array():
+    rng = np.random.default_rng(7)
+    for n in range(400):
+        kind = n % 4
+        if kind == 0:
+            t = np.tile(rng.integers(1, 4, 1 + n // 40), 1 + n // 20)
+        elif kind == 1:
+            t = np.repeat(rng.integers(1, 4, 9), rng.integers(1, 30, 9))
+        else:
+            t = rng.integers(1, rng.choice([2, 3, 6, 5000]), rng.integers(1, 70))
+        t = np.append(t, 0)
         s = t.tolist()
         want = sorted(range(len(s)), key=lambda i: s[i:])
         sa = suffixes.suffix_array(t)
@@ -339,15 +344,9 @@ def test_suffix_array(monkeypatch, recurse):
             assert before[a] == b and shared[a] == c
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_op7_against_brute_force(spark, odd, empty, hot):
-    size, rng = 40, random.Random(hot)
-    base = ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(0, 200))) for _ in range(8)]
-    texts = [rng.choice(base)[rng.randrange(40) :] + "".join(rng.choice("xyz") for _ in range(rng.randrange(50))) + rng.choice(base)[: rng.randrange(120)] for _ in range(60)] + ["ab" * 60, "q" * 90, None]
-    data = rows(*texts, start=100)
-    df = spark.createDataFrame(data + data[:2], SCHEMA)
-    got = sorted((tuple(r) for r in repeats.remove_repeats(df, size, False, hot).collect()))
-    plain = [(r[0], (r[1] or "").encode()) for r in data + data[:2]]
+def plain_repeats(docs, size):
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) of each (doc_id, text), from a plain count of strings."""
+    plain = [(i, (t or "").encode()) for i, t in docs]
     seen = collections.Counter(x[i : i + size] for _, x in plain for i in range(len(x) - size + 1))
     want = []
     for i, x in plain:
@@ -356,11 +355,45 @@ def test_op7_against_brute_force(spark, odd, empty, hot):
             if seen[x[k : k + size]] > 1:
                 cover[k : k + size] = b"\1" * size
         want.append((i, len(x), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(b for b, c in zip(x, cover, strict=True) if not c)).hexdigest()))
-    assert got == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_op7_against_brute_force(spark, monkeypatch, odd, empty, hot):
+    size, rng = 40, random.Random(hot)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 5000)
+    base = ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(0, 200))) for _ in range(8)]
+    texts = [rng.choice(base)[rng.randrange(40) :] + "".join(rng.choice("xyz") for _ in range(rng.randrange(50))) + rng.choice(base)[: rng.randrange(120)] for _ in range(60)] + ["ab" * 60, "q" * 90, None]
+    data = rows(*texts, start=100)
+    df = spark.createDataFrame(data + data[:2], SCHEMA)
+    got = sorted((tuple(r) for r in repeats.remove_repeats(df, size, False, hot).collect()))
+    assert got == plain_repeats([r[:2] for r in data + data[:2]], size)
     if hot > 2:
         assert repeats.remove_repeats(odd).count() == odd.count() and repeats.remove_repeats(empty).count() == 0
 
 
+def test_op7_on_whole_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    got = sorted(tuple(r) for r in repeats.op7_repeats(spark, SMALL).collect())
+    want = plain_repeats([tuple(r) for r in docs.collect()], repeats.SIZE)
+    assert got == want
+    assert any(w[2] for w in want) and any(not w[2] for w in want)
+
+
+def test_op7_hot_passage(spark):
+    """A passage in very many texts: one row for each different fragment, whatever the strings in it, and runs that are merged."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(130))
+    texts = [" ".join(word() for _ in range(30)) + passage + " ".join(word() for _ in range(30)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    spans = repeats.repeat_spans(docs, hot_fragments=100).collect()
+    assert len(spans) == 600 and sum(len(r.runs) for r in spans) < 600 * 12
+    got = sorted(tuple(r) for r in repeats.remove_repeats(docs, keep_text=False, hot_fragments=100).collect())
+    assert got == plain_repeats(list(enumerate(texts)), repeats.SIZE)
+
+
 def plain_spans(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
