@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from skein.llm.common import binary, prepare, read_documents
 
@@ -156,7 +157,7 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
-def _searcher(shared, keep: bool):
+def _searcher(shared, keep: bool, item_type: str = "bigint"):
     def groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         first, size = 0, 0
         for i, t in enumerate(texts):
@@ -176,15 +177,19 @@ def _searcher(shared, keep: bool):
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
             else:
                 rows = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array([index.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], names=["doc_id", "item_id", "edits", "end_at"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array([index.ids[f[1]] for f in found], pa.int64() if item_type == "bigint" else pa.string()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())], names=["doc_id", "item_id", "edits", "end_at"])
 
     return run
 
 
+def _item_type(benchmark: DataFrame) -> str:
+    return "bigint" if isinstance(benchmark.schema["item_id"].dataType, IntegralType) else "string"
+
+
 def _parts(benchmark: DataFrame) -> Iterator:
     """Broadcast indexes of at most about PART_BYTES of items each; the number of parts follows the benchmark's size."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast(_item_type(benchmark)).alias("item_id"), "text").where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     for p in range(parts):
@@ -198,14 +203,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     edits is the least number of byte edits, end_at where the best place ends in the
     normalised text. Null or empty texts and items match nothing; items under Q bytes match
-    only as they are. A benchmark of any size works: it is searched part by part. Repeated
+    only as they are. An item_id that is no whole number is returned as a string. A benchmark of any size works: it is searched part by part. Repeated
     rows are reported each; extra columns are ignored; empty tables give no rows.
     """
     prepare(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), _item_type(benchmark)
     out = None
     for shared in _parts(benchmark):
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(shared, False), f"doc_id {id_type}, item_id bigint, edits bigint, end_at bigint")
+        found = docs.select("doc_id", "text").mapInArrow(_searcher(shared, False, item_type), f"doc_id {id_type}, item_id {item_type}, edits bigint, end_at bigint")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -18,7 +18,6 @@ from skein.llm.common import binary, prepare, read_documents, store
 
 _WHITE = b" \t\n\x0b\x0c\r"
 MIN_POINTS = 10
-MIN_DOCS = 2
 
 
 def _digest(line: bytes) -> bytes | None:

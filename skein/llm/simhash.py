@@ -230,17 +230,29 @@ def exact_edges(fps: DataFrame, radius: int) -> DataFrame:
 def banded_edges(fps: DataFrame, radius: int, words: int, named: int = 0) -> DataFrame:
     """Edges that connect fingerprints within radius bits among those that share a band key (fp, bands distinct); named: see _compare.
 
-    A band of more than BLOCK_ROWS rows is dealt into chunks that meet two by two in tasks
-    of their own, so that no task holds it whole; no pair of it is lost.
+    In a band of more than BLOCK_ROWS rows those in reach of its least row are linked to it,
+    so a group of near copies costs its rows and no more. Only the others are compared with
+    the whole band, in chunks that meet two by two in tasks of their own; no pair is lost.
     """
     keyed = fps.select("fp", F.posexplode("bands").alias("t", "v")).select("fp", F.xxhash64("t", "v").alias("key")).distinct()
     sizes = store(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).df  # written, as above
-    dealt = keyed.join(sizes, "key").withColumn("s", F.ceil(F.col("n") / BLOCK_ROWS))
-    plain = dealt.where("s = 1").select("key", "fp")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s"))
-    split = dealt.where("s > 1").withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)))
-    split = split.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fp")
-    return _edges(plain.unionByName(split), radius, words, named)
+    plain = _edges(keyed.join(sizes.where(F.col("n") <= BLOCK_ROWS), "key").select("key", "fp"), radius, words, named)
+    hot = sizes.where(F.col("n") > BLOCK_ROWS)
+    if hot.isEmpty():
+        return plain
+    rows = store(keyed.join(hot, "key").withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK_ROWS)))).df
+    lead = store(rows.groupBy("key").agg(F.min("fp").alias("lead"))).df
+    apart = sum((F.bit_count(F.col("fp")[w].bitwiseXOR(F.col("lead")[w])) for w in range(words)), F.lit(0))
+    judged = store(rows.join(lead, "key").withColumn("near", apart <= radius)).df
+    others = judged.where(~F.col("near")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("s"))
+    met = judged.join(others, "key").withColumn("o", F.pmod(F.xxhash64("fp", F.lit(11)), F.col("s")))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), c - 1))
+    whole = met.withColumn("o", each(F.col("s")))
+    visits = met.where(~F.col("near")).drop("c").withColumn("c", each(F.ceil(F.col("n") / BLOCK_ROWS)))
+    met = whole.select(F.xxhash64("key", "c", "o").alias("key"), "fp").unionByName(visits.select(F.xxhash64("key", "c", "o").alias("key"), "fp")).distinct()
+    name = lambda c: F.slice(c, words + 1, named) if named else F.col(c)
+    stars = judged.where("near and fp <> lead").select(name("fp").alias("a"), name("lead").alias("b"))
+    return plain.unionByName(stars).unionByName(_edges(met, radius, words, named))
 
 
 def simhash_components(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFrame:
@@ -395,6 +407,16 @@ def verified_edges(docs: DataFrame, maybe: DataFrame, ngram: int) -> DataFrame:
     return judged.where("near and node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(edges)
 
 
+def _near_nodes(docs: DataFrame, ngram: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, x, node), and (node, root, first): of each node its group and its first row (none: without an id, doc_id, x)."""
+    own = store(with_nodes(docs, ngram)).df
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")).alias("first")
+    nodes = store(own.groupBy("node").agg(F.min("x").alias("x"), first)).df
+    maybe = connected_components(banded_edges(own.select(F.concat("fp", "node").alias("fp"), "bands"), radius, NEAR_WORDS, 2))
+    roots = connected_components(verified_edges(docs, nodes.select("node", "x").join(maybe, "node"), ngram))
+    return own.select("doc_id", "x", "node"), store(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).df
+
+
 def near_copies(docs: DataFrame, ngram: int = 5, radius: int = NEAR_RADIUS) -> DataFrame:
     """(doc_id, component_id) of each row: groups of texts alike in 0.8 or more of their five-word shingles.
 
@@ -405,24 +427,26 @@ def near_copies(docs: DataFrame, ngram: int = 5, radius: int = NEAR_RADIUS) -> D
     rows: as in simhash_components.
     """
     prepare(docs.sparkSession)
-    own = store(with_nodes(docs, ngram)).df
-    nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("x").alias("x"))).df
-    maybe = connected_components(banded_edges(own.select(F.concat("fp", "node").alias("fp"), "bands"), radius, NEAR_WORDS, 2))
-    roots = connected_components(verified_edges(docs, nodes.select("node", "x").join(maybe, "node"), ngram))
-    named = store(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).df
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    own, named = _near_nodes(docs, ngram, radius)
+    least = named.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
+    return own.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each group the rows of its smallest doc_id stay, one row if that id repeats.
+def keep_one(docs: DataFrame, ngram: int = 5, radius: int = NEAR_RADIUS) -> DataFrame:
+    """docs without near copies: one row of each group stays, the one of the smallest doc_id.
 
-    Rows without an id are kept: they name no document that could stand for them.
+    Rows without an id come last in their group, and rows of one id are ordered by a hash of
+    their texts; rows equal in both are one. Blank and null texts are one group. Very long
+    texts count whole; no link is missed for their length. An empty table stays empty; all
+    columns are kept, whatever their names.
     """
-    columns = docs.columns
-    groups = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(columns)
+    prepare(docs.sparkSession)
+    first = _near_nodes(docs, ngram, radius)[1].groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    nil = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", nil).alias("i"), "x"]
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", _row_hash()).select("row", *key)
+    found = rows.join(first.select(*key), ["none", "i", "x"], "left_semi")
+    return found.groupBy("none", "i", "x").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
