@@ -80,6 +80,18 @@ def test_nearest_by_rounds(spark):
     assert spatial.nearest(df.limit(1), 3, 0.1).count() == 0
 
 
+def test_nearest_at_any_distance(spark):
+    """Far points find their neighbours, coordinates that are no numbers have none, and fewer points than asked for give all there are."""
+    spots = [(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 5e6, 0.0, 0.0), (4, -9e12, 2.0, 0.0)]
+    bad = [(5, float("nan"), 0.0, 0.0), (6, float("inf"), 0.0, 0.0), (7, None, 0.0, 0.0)]
+    df = spark.createDataFrame(spots + bad, "id long, x double, y double, z double")
+    got = {(r.id, r.other, r["rank"]) for r in spatial.nearest(df, 1, 0.1).collect()}
+    assert got == {(1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 1, 1)}
+    assert spatial.nearest(df, 9, 0.1).count() == 12
+    same = spark.createDataFrame([(i, 7.0, 7.0, 7.0) for i in range(50)], "id long, x double, y double, z double")
+    assert {(r.id, r.other) for r in spatial.nearest(same, 1, 0.1).collect()} == {(i, int(i == 0)) for i in range(50)}
+
+
 @pytest.mark.parametrize("least", [0.2, 0.5, 1.0])
 def test_set_overlap_loses_no_pair(spark, least):
     rng = random.Random(7)
