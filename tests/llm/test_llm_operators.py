@@ -185,12 +185,15 @@ def test_op3_odd_rows(spark, odd, empty):
 
 @pytest.mark.parametrize("module,name,odd_class", [(quality, "quality", 0), (toxicity, "toxic", 1)])
 def test_classifiers(spark, odd, empty, module, name, odd_class):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = module.train(docs, labels)
     fold = {"quality": "crc32(cast(doc_id AS string)) % 4 = 2", "toxic": "crc32(cast(doc_id AS string)) % 5 = 0"}[name]
     held = module.score_documents(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(fold).collect()
-    right = sum((r.score >= module.THRESHOLD) == (r[name] == 1) for r in held)
-    assert right / len(held) > 0.9
+    for side in (0, 1):  # a constant answer fails one of these
+        said = [r for r in held if (r.score >= module.THRESHOLD) == (side == 1)]
+        real = [r for r in held if r[name] == side]
+        right = sum(r[name] == side for r in said)
+        assert right >= 0.9 * len(real) and right >= 0.9 * len(said)
     scored = module.score_documents(odd, model).collect()  # replaces odd's own column of that name
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
     assert module.score_documents(empty, model, "p").count() == 0
@@ -439,6 +442,48 @@ def test_op9_consistency(spark, odd, empty):
     assert len(got) == odd.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_op9_columns(spark):
+    """Every column of the query against plain patterns; the field only adds, and what it adds lies in the text."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = pii.op9_pii(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    written = lambda found: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(found))
+    for r in got:
+        base = plain_spans(texts[r.doc_id])
+        counts = collections.Counter(k for k, _, _ in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in range(4))
+        assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        spans = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(spans) and written(spans) == r.spans and all(0 <= a < b <= len(texts[r.doc_id]) for _, a, b in spans)
+
+
+def test_op9_broken_forms(spark):
+    """Second mentions in forms that no pattern takes are found by their links; numbers of no entity are left alone."""
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    found, wanted, extra = 0, 0, 0
+    for i in range(400):
+        a, b, c, d = digits(4), digits(3), digits(4), digits(2)
+        stem = digits(15)
+        card = next(stem + str(k) for k in range(10) if pii.luhn(stem + str(k)))
+        first, second = [
+            (card, "  ".join(card[j : j + 4] for j in range(0, 16, 4))), (card, f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"),
+            (f"+1 ({b}) {b}-{a}", f"{b}-{b}-{a}"), (f"+1 ({b}) {b}-{a}", f"({b}) {b}-{a}"), (f"+44 {d} {a} {c}", f"0{d} {a} {c}"),
+            (card, digits(6)), (f"+1 ({b}) {b}-{a}", "2024-05-17"), (f"+44 {d} {a} {c}", digits(10)),
+        ][i % 8]
+        text = f"words before {first} some words between the two {second} and after"
+        base, spans = pii.find(field, [text])[0]
+        at = text.rindex(second)
+        more = [s for s in spans if s not in base]
+        kind = 2 if first == card else 3
+        hit = [s for s in more if s[0] == kind and s[1] < at + len(second) and s[2] > at] if i % 8 < 5 else []
+        wanted += i % 8 < 5
+        found += bool(hit)
+        extra += len(more) - len(hit)
+    assert found >= 0.9 * wanted and extra <= 0.05 * found
+
+
 def test_transducer():
     rng = random.Random(1)
     words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(2000)})
