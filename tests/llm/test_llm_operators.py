@@ -11,6 +11,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontam, lines, lm, pii, quality, repeats, simhash, suffixes, toxicity, transducer, winnow
@@ -265,6 +266,47 @@ def brute_winnow(text, k=winnow.K, w=winnow.WINDOW):
     return words, max(0, len(words) - k + 1 if len(words) >= k else bool(words)), w
 
 
+def plain_fingerprint(text):
+    """(place, hash) of every selected run of words, window by window."""
+    words, _, _ = brute_winnow(text)
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    one = [(h - (1 << 64) * (h >> 63)) % winnow.PRIME for h in one]
+    if len(one) >= winnow.K:
+        keys = [sum(h * winnow.BASE ** (winnow.K - 1 - j) for j, h in enumerate(one[i : i + winnow.K])) % winnow.PRIME for i in range(len(one) - winnow.K + 1)]
+    else:
+        seed = 42
+        for h in one:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        keys = [(seed - (1 << 64) * (seed >> 63)) % winnow.PRIME] if one else []
+    picked = []
+    for i in range(max(1, len(keys) - winnow.WINDOW + 1) if keys else 0):
+        window = keys[i : i + winnow.WINDOW]
+        least = min(window)
+        place = i + max(j for j, h in enumerate(window) if h == least)
+        if not picked or picked[-1][0] != place:
+            picked.append((place, least))
+    return picked
+
+
+def test_op5_against_brute_force(spark):
+    """Every column of the query on whole texts: selected hashes and places, edited texts, and both likenesses."""
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in winnow.op5_fingerprints(spark, SMALL).collect()}
+    assert len(got) == len(texts)
+    written = lambda f: ",".join(f"{(h << winnow.POSITION_BITS) + p:X}" for p, h in f)
+    low = lambda f: {h % (1 << 32) for _, h in f}
+    alike = lambda a, b: len(low(a) & low(b)) / len(low(a) | low(b)) if low(a) | low(b) else 1.0
+    for at, (i, text) in enumerate(texts):
+        following = texts[(at + 1) % len(texts)][1]
+        m = len(text) // 4
+        edited = text[: len(text) - m] + following[:m]
+        a, b, c = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(following)
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == written(a) and r.edited_fingerprint == written(b)
+        assert r.near_edited == alike(a, b) and r.near_next == alike(a, c)
+
+
 def test_op5(spark, odd, empty):
     docs = spark.createDataFrame(rows(*[" ".join(f"w{(i * 31 + j * j) % 211}" for j in range(50 + i)) for i in range(20)]), SCHEMA)
     got = {r.doc_id: r for r in winnow.edited_fingerprints(docs).collect()}
