@@ -87,7 +87,8 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     if not n or y.min() == y.max():
         prior = (y.sum() + 1) / (n + 2)
         return Model(slot, float(np.log(prior / (1 - prior))), np.zeros(1), np.zeros((1, FACTORS)))
-    both = np.unique(np.concatenate([d * (1 << BUCKET_BITS) + b for at in range(0, n, 256) for d, b in [buckets(texts[at : at + 256])] for d in [d + at]]))
+    # a few documents at a time, each term once: what is held follows the different terms
+    both = np.concatenate([np.unique((d + at) * (1 << BUCKET_BITS) + b) for at in range(0, n, 64) for d, b in [buckets(texts[at : at + 64])]])
     doc, bucket = both >> BUCKET_BITS, both & ((1 << BUCKET_BITS) - 1)
     seen = np.bincount(bucket, minlength=len(slot))
     bad = np.bincount(bucket, weights=y[doc], minlength=len(slot))
