@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,22 +140,50 @@ def greedy_groups(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("scope").applyInPandas(fold, "scope string, group_id string, label string")
 
 
-def apply_model(rows: DataFrame, model, schema: str) -> DataFrame:
-    """The boundary to outside models: `model` maps an iterator of pandas batches; a batch it fails on comes back row by row, each failure in `error`."""
+# What a call of each kind of outside model returns for a row.
+MODEL_SCHEMAS = {
+    "tagger": "image string, tags array<string>, raw string, error string",
+    "detector": "image string, prompt string, boxes array<array<double>>, scores array<double>, labels array<string>, error string",
+    "segmenter": "image string, masks array<binary>, scores array<double>, error string",
+    "classifier": "tag string, category string, keep boolean, reason string, error string",
+    "grouper": "label_a string, label_b string, relation string, similarity double, error string",
+}
+#: Pairs that a grouping model is asked about in one call.
+PAIRS_A_CALL = 80
+
+
+def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = None, retries: int = 0, wait: float = 0.0) -> DataFrame:
+    """The boundary to outside models: `model` maps pandas batches of at most batch_rows rows to rows of schema, such as one of MODEL_SCHEMAS.
+
+    A call that fails is tried `retries` times more, after `wait` seconds and then twice as
+    long each time. A batch that fails for good comes back row by row, each failure in `error`.
+    """
 
     ship(rows.sparkSession)
-    names = [part.split()[0] for part in schema.split(",")]
+    names = [part.split()[0] for part in re.split(r",(?![^<]*>)", schema)]
+
+    def call(batch: pd.DataFrame, tries: int) -> pd.DataFrame:
+        for n in range(tries + 1):
+            try:
+                return model(batch).assign(error=None)
+            except Exception:  # noqa: BLE001  whatever an outside model raises
+                if n == tries:
+                    raise
+                time.sleep(wait * 2**n)
+        raise AssertionError
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield model(batch).assign(error=None)
-            except Exception:  # noqa: BLE001  one bad row must not end the job: its neighbours are tried alone
-                for i in range(len(batch)):
-                    try:
-                        yield model(batch.iloc[i : i + 1]).assign(error=None)
-                    except Exception as e:  # noqa: BLE001
-                        row = batch.iloc[i : i + 1].assign(error=f"{type(e).__name__}: {e}")
-                        yield row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+            for at in range(0, len(batch), batch_rows or max(1, len(batch))):
+                some = batch.iloc[at : at + (batch_rows or len(batch))]
+                try:
+                    yield call(some, retries)
+                except Exception:  # noqa: BLE001  one bad row must not end the job: its neighbours are tried alone
+                    for i in range(len(some)):
+                        try:
+                            yield call(some.iloc[i : i + 1], 0)
+                        except Exception as e:  # noqa: BLE001
+                            row = some.iloc[i : i + 1].assign(error=f"{type(e).__name__}: {e}")
+                            yield row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
 
     return rows.mapInPandas(run, schema)

@@ -20,11 +20,30 @@ SQL: dict[str, str] = {}
 
 
 def a18_task_states(spark, sf_dir: str) -> DataFrame:
-    return T.counts(P.tasks(spark, sf_dir).where("state <> 'failed'"))
+    return T.counts(P.tasks(spark, sf_dir))
 
 
 QUERIES["a18_task_states"] = a18_task_states
-SQL["a18_task_states"] = P.with_views(P.V_TASK) + " SELECT s AS state, count(task)::BIGINT AS n FROM (SELECT unnest(['pending','processing','done','failed']) AS s) LEFT JOIN (SELECT * FROM v_task WHERE state <> 'failed') ON state = s GROUP BY s"
+SQL["a18_task_states"] = P.with_views(P.V_TASK) + " SELECT s AS state, count(task)::BIGINT AS n FROM (SELECT unnest(['pending','processing','done','failed']) AS s) LEFT JOIN v_task ON state = s GROUP BY s"
+
+
+def t06_keyframe_replay(spark, sf_dir: str) -> DataFrame:
+    """Every tenth frame's tasks as they would arrive, half a second apart."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    found = T.keyframes(P.tasks(spark, sf_dir).select("task", "frame"), 10, start, 0.5)
+    return found.select("task", "frame", "state", F.unix_millis("at").alias("at_ms"))
+
+
+QUERIES["t06_keyframe_replay"] = t06_keyframe_replay
+SQL["t06_keyframe_replay"] = P.with_views(P.V_TASK) + """ SELECT task, frame, 'pending' AS state,
+  (epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + 500 * (row_number() OVER (ORDER BY frame, task) - 1))::BIGINT AS at_ms FROM v_task WHERE frame % 10 = 0"""
+
+
+def a19_result_counts(spark, sf_dir: str) -> DataFrame:
+    return T.result_counts(_log(spark, sf_dir))
+
+
+QUERIES["a19_result_counts"] = a19_result_counts
 
 
 def _log(spark, sf_dir: str) -> DataFrame:
@@ -38,6 +57,9 @@ _V_LOG = """v_log AS (SELECT l_orderkey AS task, ['pending','processing','done',
 _V_NOW = """v_now AS (SELECT task, state, "at" FROM v_log QUALIFY row_number() OVER (PARTITION BY task ORDER BY "at" DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1)"""
 
 
+SQL["a19_result_counts"] = P.with_views(_V_LOG) + " SELECT state, count(*)::BIGINT AS events, count(DISTINCT task)::BIGINT AS tasks FROM v_log WHERE state IN ('done', 'failed') GROUP BY state"
+
+
 def _now(spark, sf_dir: str) -> DataFrame:
     return T.latest(_log(spark, sf_dir), "at", "l_linenumber", "l_partkey", "l_suppkey")
 

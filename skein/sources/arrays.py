@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import store
 from skein.sources.ship import ship
 
 # The scalar types of a PLY header, as numpy types.
@@ -46,60 +49,101 @@ def parse_ply_header(head: bytes) -> tuple[int, list[tuple[str, str]], int]:
     return count, properties, start
 
 
-def _header(spark: SparkSession, path: str) -> tuple[int, list[tuple[str, str]], int]:
-    head = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 65536)").alias("c")).first()
-    if head is None:
-        raise ValueError(f"no file at {path}")
-    return parse_ply_header(bytes(head.c))
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark names it, and the path there."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
 
+def _read_header(path: str) -> tuple[int, list[tuple[str, str]], int]:
+    where, inside = _open(path)
+    with where.open_input_file(inside) as file:
+        return parse_ply_header(file.read(65536))
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
+
+def read_ply(spark: SparkSession, path: str, rows: int = 1 << 20) -> DataFrame:
     """(file, point_idx, properties…) of the vertices of PLY files of one layout, that of the first. Colour and place are required.
 
-    A file is one task's work, up to the 2 GB that Spark holds in a value; larger clouds come
-    as several files.
+    Vertices have a fixed width, so a file is read in ranges of about `rows` vertices, each by
+    a task of its own that opens it there; files may have any size. Spark lists the files.
     """
     ship(spark)
-    _, properties, _ = _header(spark, path)
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # lists, without reading what they hold
+    first = files.agg(F.min("path")).first()[0]
+    if first is None:
+        raise ValueError(f"no file at {path}")
+    _, properties, _ = _read_header(first)
     missing = [p for p in PLY_REQUIRED if p not in dict(properties)]
     if missing:
         raise ValueError(f"PLY properties missing: {missing}")
     kinds = {"i1": "tinyint", "u1": "smallint", "<i2": "smallint", "<u2": "int", "<i4": "int", "<u4": "bigint", "<f4": "float", "<f8": "double"}
     arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+    width = np.dtype(properties).itemsize
+    # ranges of bytes of the whole file, header included: at least as many as its vertices need
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("length") / (rows * width)))).alias("part"))
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count, own, start = parse_ply_header(content[:65536])
-                rows = np.frombuffer(content, dtype=np.dtype(own), count=count, offset=start)
-                for at in range(0, count, ROWS):
-                    part = rows[at : at + ROWS]
-                    columns = [pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part)), pa.int64())]
-                    columns += [pa.array(part[p].astype(arrow[kinds[t]].to_pandas_dtype()), arrow[kinds[t]]) for p, t in properties]
-                    yield pa.RecordBatch.from_arrays(columns, names=["file", "point_idx", *dict(properties)])
+            for name, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count, own, start = _read_header(name)
+                where, inside = _open(name)
+                with where.open_input_file(inside) as file:
+                    upto = min(count, (part + 1) * rows)
+                    for at in range(part * rows, upto, ROWS):
+                        n = min(ROWS, upto - at)
+                        file.seek(start + at * np.dtype(own).itemsize)
+                        some = np.frombuffer(file.read(n * np.dtype(own).itemsize), dtype=np.dtype(own), count=n)
+                        columns = [pa.array([name] * n), pa.array(np.arange(at, at + n), pa.int64())]
+                        columns += [pa.array(some[p].astype(arrow[kinds[t]].to_pandas_dtype()), arrow[kinds[t]]) for p, t in properties]
+                        yield pa.RecordBatch.from_arrays(columns, names=["file", "point_idx", *dict(properties)])
 
     schema = "file string, point_idx bigint, " + ", ".join(f"`{p}` {kinds[t]}" for p, t in properties)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
-
-
-def write_ply(df: DataFrame, path: str, properties: tuple[str, ...]) -> None:
-    """One PLY file of float properties, rows by point_idx: partitions stream through to the store one after another."""
-    spark = df.sparkSession
-    count = df.count()
-    head = "ply\nformat binary_little_endian 1.0\n" + f"element vertex {count}\n" + "".join(f"property float {p}\n" for p in properties) + "end_header\n"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(bytearray(head.encode("ascii")))
-        block: list[tuple] = []
-        for row in df.select("point_idx", *properties).orderBy("point_idx").toLocalIterator():
-            block.append(row[1:])
-            if len(block) == ROWS:
-                out.write(bytearray(np.array(block, dtype="<f4").tobytes()))
-                block = []
-        out.write(bytearray(np.array(block, dtype="<f4").tobytes()))
-    finally:
-        out.close()
+    return ranges.mapInArrow(run, schema)
+
+
+def write_ply(df: DataFrame, path: str, properties: tuple[str, ...], files: int = 1) -> list[str]:
+    """PLY files of float properties in the folder `path`, rows by point_idx; the names of the files.
+
+    Each file is written by one task as its rows come, under another name until it is whole,
+    so that a task that is tried again leaves no half file. A large cloud goes into several
+    files, each a range of point_idx; no rows pass through the driver.
+    """
+    ship(df.sparkSession)
+    dealt = df.select("point_idx", *[F.col(p).cast("float").alias(p) for p in properties])
+    dealt = dealt.withColumn("part", F.lit(0)) if files == 1 else dealt.repartitionByRange(files, "point_idx").withColumn("part", F.spark_partition_id())
+    placed = store(dealt).df  # written once: a header, which holds the count, comes before the rows
+    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()} or {0: 0}  # a row a file
+    columns = "".join(f"property float {p}\n" for p in properties)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, now, out, names = TaskContext.get().taskAttemptId(), None, None, []
+        where, folder = _open(path)
+        where.create_dir(folder)
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                where.move(f"{names[-1]}.{attempt}", names[-1])
+
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            for cut in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if len(cut) and part[cut[0]] != now:
+                    end()
+                    now = int(part[cut[0]])
+                    names.append(f"{folder.rstrip('/')}/part-{now:05d}.ply")
+                    out = where.open_output_stream(f"{names[-1]}.{attempt}")
+                    out.write(f"ply\nformat binary_little_endian 1.0\nelement vertex {counts[now]}\n{columns}end_header\n".encode("ascii"))
+                if len(cut):
+                    out.write(np.stack([c.to_numpy(zero_copy_only=False)[cut] for c in batch.columns[2:]], axis=1).astype("<f4").tobytes())
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
+
+    rows = placed.select("part", "point_idx", *properties).repartition(len(counts), "part").sortWithinPartitions("part", "point_idx")
+    return sorted(r.file for r in rows.mapInArrow(run, "file string").collect())  # a row a file
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:

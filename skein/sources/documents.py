@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +30,23 @@ def read_document_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 
 def write_document(rows: DataFrame, path: str, tag: str) -> None:
-    """One JSON document of a format with all rows, written by Spark: for reports of a scene, whose rows fit one file."""
+    """One JSON document of a format with all rows, in their order, a line each: one task writes them as they come, and nothing holds them all."""
     field = schemas.rows_field(tag)
-    each = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"))
-    body = each.agg(F.concat_ws(",", F.collect_list("j")).alias("b"))
-    text = F.concat(F.lit(json.dumps({"format": tag})[:-1] + f', "{field}": ['), F.col("b"), F.lit("]}"))
-    body.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    head = json.dumps({"format": tag})[:-1] + f', "{field}": ['
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        comma = ""
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            for i, line in enumerate(lines):
+                lines[i], comma = comma + line, ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["value"])
+
+    each = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.monotonically_increasing_id().alias("o"))
+    one = each.repartition(1).sortWithinPartitions("o").select("j")
+    one.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -14,10 +14,13 @@ _roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir; a temporary one only where no cluster names any, as in tests."""
+    """This session's folder below spark.checkpoint.dir; a temporary one only for a local master, as in tests. A cluster must name one that all share."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="skein-")
         _roots[app] = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
         atexit.register(_at_exit, spark, _roots[app])
     return _roots[app]

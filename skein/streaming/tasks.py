@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.lift import numbered
+
 # The states of a task; where a task is in several, the later one in a list counts.
 STATES = ("pending", "processing", "done", "failed")
 
@@ -83,6 +85,25 @@ def rewrite_paths(tasks: DataFrame, root: str) -> DataFrame:
     return out.withColumn("changed", ~(F.col("image").eqNullSafe(F.col("new_image")) & F.col("depth").eqNullSafe(F.col("new_depth"))))
 
 
+def keyframes(frames: DataFrame, every: int, start: Column, seconds: float) -> DataFrame:
+    """Events (task, frame, state, at) of the keyframes of frames (task, frame): every `every`-th frame, pending one after another at an interval from start on."""
+    kept = numbered(frames.where(F.col("frame") % every == 0), "frame", "task")
+    at = F.timestamp_micros(F.unix_micros(start) + (F.col("number") * int(seconds * 1_000_000)))
+    return kept.select("task", "frame", F.lit("pending").alias("state"), at.alias("at"))
+
+
+def replay(spark: SparkSession, path: str, schema: str, seconds: float, files: int = 1):
+    """The files of a folder as a stream, and a writer of it that takes `files` more of them at each interval: keyframes as they would arrive."""
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return arriving, arriving.writeStream.outputMode("append").trigger(processingTime=f"{seconds} seconds")
+
+
+def result_counts(log: DataFrame) -> DataFrame:
+    """(state, events, tasks): how often tasks ended in each final state, and how many tasks ever did."""
+    ended = log.where(F.col("state").isin("done", "failed"))
+    return ended.groupBy("state").agg(F.count("*").alias("events"), F.countDistinct("task").alias("tasks"))
+
+
 def late_safe(events: DataFrame, at: str = "ts", delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark(at, delay)
 

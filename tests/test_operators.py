@@ -282,6 +282,20 @@ def test_model_boundary_isolates_rows(spark):
     assert got[3] == (None, "RuntimeError: bad row") and all(got[k] == ("ok", None) for k in (0, 1, 2, 4, 5))
 
 
+def test_model_calls_are_batched_and_tried_again(spark):
+    def detector(batch, tried=[]):  # noqa: B006  a worker's own memory of what it has failed once
+        assert len(batch) <= 2
+        key = batch["image"].iloc[0]
+        if key not in tried:
+            tried.append(key)
+            raise RuntimeError("busy")
+        return batch.assign(boxes=[[[0.0, 0.0, 1.0, 1.0]]] * len(batch), scores=[[0.5]] * len(batch), labels=[["x"]] * len(batch))
+
+    df = spark.createDataFrame([(f"i{k}", "chair") for k in range(5)], "image string, prompt string").coalesce(1)
+    got = tags.apply_model(df, detector, tags.MODEL_SCHEMAS["detector"], batch_rows=2, retries=1).collect()
+    assert len(got) == 5 and all(r.error is None and r.boxes == [[0.0, 0.0, 1.0, 1.0]] for r in got)
+
+
 def test_scene_pieces(spark):
     c = {r.label: (r.place, r.r, r.g, r.b) for r in scene.label_colors(spark.createDataFrame([("b",), ("a",), ("b",)], "label string")).collect()}
     assert c["a"] == (0, 242, 68, 68) and c["b"][0] == 1

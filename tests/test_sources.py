@@ -23,7 +23,9 @@ def test_document_round_trip(spark, tmp_path):
     assert df.count() == 2 and df.where("object_id = 'obj_1'").first().label_counts == {"stuhl": 3}
     documents.write_document(df, str(tmp_path / "out"), "object_memory_v1")
     again = documents.read_document_rows(spark, str(tmp_path / "out"), "object_memory_v1")
-    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+    assert list(map(str, again.collect())) == list(map(str, df.collect()))
+    documents.write_document(df.limit(0), str(tmp_path / "none"), "object_memory_v1")
+    assert documents.read_document_rows(spark, str(tmp_path / "none"), "object_memory_v1").count() == 0
 
 
 def test_every_schema_parses():
@@ -80,9 +82,15 @@ def test_ply_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     values = rng.normal(size=(1000, 6)).astype("<f4")
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(values)], "point_idx long, " + ", ".join(f"{p} float" for p in PROPS)).repartition(5)
-    arrays.write_ply(df, str(tmp_path / "c.ply"), PROPS)
-    got = arrays.read_ply(spark, str(tmp_path / "c.ply")).orderBy("point_idx").toPandas()
-    assert (got[list(PROPS)].to_numpy() == values).all() and got["point_idx"].tolist() == list(range(1000))
+    names = arrays.write_ply(df, str(tmp_path / "c"), PROPS)
+    assert len(names) == 1
+    for rows in (1 << 20, 64):  # whole, and in ranges
+        got = arrays.read_ply(spark, names[0], rows).orderBy("point_idx").toPandas()
+        assert (got[list(PROPS)].to_numpy() == values).all() and got["point_idx"].tolist() == list(range(1000))
+    names = arrays.write_ply(df, str(tmp_path / "many"), PROPS, 3)
+    got = arrays.read_ply(spark, str(tmp_path / "many")).orderBy("file", "point_idx").toPandas()
+    assert len(names) == 3 and (got[list(PROPS)].to_numpy() == values).all()
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["part-00000.ply", "part-00001.ply", "part-00002.ply"]
 
 
 @pytest.mark.parametrize("head", [b"ply\nformat ascii 1.0\nelement vertex 1\nend_header\n", b"ply\nformat binary_little_endian 1.0\nend_header\n", b"ply\nformat binary", b"obj\nend_header\n"])
@@ -142,3 +150,16 @@ def test_stream_equals_batch(spark, tmp_path, files):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     once = tasks.run_once(tasks.first_of_each(stream, "kind"), str(tmp_path / "cp2"), str(tmp_path / "out2"))
     assert {r.kind for r in once.collect()} == {0, 1, 2}
+
+
+def test_keyframes_arrive_one_after_another(spark, tmp_path):
+    from skein.streaming import tasks
+
+    for i in range(3):
+        spark.createDataFrame([(i, i * 10)], "task long, frame long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    _, writer = tasks.replay(spark, str(tmp_path / "in"), "task long, frame long", 0.2)
+    sizes = []
+    q = writer.foreachBatch(lambda df, _: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [n for n in sizes if n] == [1, 1, 1]
