@@ -154,7 +154,12 @@ def fit(texts: list[bytes], labels: list[int]) -> Network:
 
 
 def score_documents(docs: DataFrame, net: Network, score_as: str = "score") -> DataFrame:
-    """docs with the probability of quality for each row's whole text; null texts count as empty. Other columns pass through; one named like the score is replaced."""
+    """docs with the probability of quality for each row's whole text; null texts count as empty.
+
+    Long texts are pooled whole, a chunk at a time. Repeated rows score alike and stay; the
+    score depends on the text alone. Other columns pass through; one named like the score
+    is replaced. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop(score_as)
@@ -171,7 +176,7 @@ def score_documents(docs: DataFrame, net: Network, score_as: str = "score") -> D
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on labelled rows whose crc32(doc_id) mod 4 is not 2."""
+    """Fit on labelled rows whose crc32(doc_id) mod 4 is not 2; see labelled_sample for nulls, repeats and long texts. Without labels, or with one class only, all scores are one constant."""
     prepare(docs.sparkSession)
     return fit(*labelled_sample(docs, labels, "quality", crc_fold(F.col("doc_id"), 4) != 2, SAMPLE_ROWS, SAMPLE_BYTES))
 

@@ -128,8 +128,10 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 def score_documents(docs: DataFrame, model: Model, score_as: str = "score") -> DataFrame:
     """docs with a probability of toxicity for each row's whole text; null texts count as empty.
 
-    Only term presence counts, so repeated text changes nothing. Other columns pass
-    through; one named like the score is replaced.
+    Only term presence counts, so repeated text changes nothing; long texts count whole.
+    Repeated rows score alike and stay; the score depends on the text alone, so ties are
+    equal scores. Other columns pass through; one named like the score is replaced. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -147,7 +149,7 @@ def score_documents(docs: DataFrame, model: Model, score_as: str = "score") -> D
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; see labelled_sample for nulls, repeats and long texts. Without labels, or with one class only, all scores are one constant."""
     prepare(docs.sparkSession)
     return fit(*labelled_sample(docs, labels, "toxic", crc_fold(F.col("doc_id"), 5) != 0, SAMPLE_ROWS, SAMPLE_BYTES))
 
