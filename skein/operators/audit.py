@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry as G
+from skein.sources.scratch import store
 from skein.sources.ship import ship
 
 LONG = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
@@ -19,7 +21,7 @@ def _name(prefix: str, q: float) -> str:
 
 
 def summary(column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> list[Column]:
-    """Aggregates over the finite values of a column: count, least, quantiles between neighbours, greatest, mean; null over none."""
+    """Aggregates over the finite values of a column, by a key: count, least, quantiles between neighbours, greatest, mean; null over none. For a whole table there is whole_summary."""
     x = F.col(column).cast("double")
     x = F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
     q = F.percentile(x, F.array(*[F.lit(v) for v in quantiles]))
@@ -30,6 +32,33 @@ def summary(column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> li
     ]
 
 
+def whole_summary(df: DataFrame, column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> DataFrame:
+    """One row with summary's figures of a whole table, exact, without a task that holds all values.
+
+    Equal values are counted first, by partial aggregates. The different ones are dealt by
+    ranges; each finds its place after the ranges before it, a table of one row a range, and
+    only the values at the quantiles' places go to the driver, two for each.
+    """
+    x = F.col(column).cast("double")
+    finite = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    n, *rest = finite.agg(F.count("x"), F.min("x"), F.max("x"), F.avg("x")).first()
+    at = {q: q * (n - 1) for q in quantiles if n}
+    places = sorted({f(t) for t in at.values() for f in (math.floor, math.ceil)})
+    found: dict[int, float] = {}
+    if n:
+        counted = store(finite.groupBy("x").agg(F.count("*").alias("c")).repartitionByRange("x").withColumn("p", F.spark_partition_id())).df
+        sizes = counted.groupBy("p").agg(F.sum("c").alias("size"))
+        before = sizes.select("p", (F.sum("size").over(Window.orderBy("p")) - F.col("size")).alias("before"))  # a row a range
+        upto = F.sum("c").over(Window.partitionBy("p").orderBy("x")) + F.col("before")
+        placed = counted.join(F.broadcast(before), "p").withColumn("upto", upto)
+        wanted = F.filter(F.array(*[F.lit(i).cast("bigint") for i in places]), lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("c")))
+        found = {r.i: r.x for r in placed.select("x", F.explode(wanted).alias("i")).collect()}
+    between = lambda t: found[math.floor(t)] + (found[math.ceil(t)] - found[math.floor(t)]) * (t - math.floor(t))
+    names = [f"{prefix}_count", f"{prefix}_min", *[_name(prefix, q) for q in quantiles], f"{prefix}_max", f"{prefix}_mean"]
+    row = (n, rest[0], *[between(at[q]) if n else None for q in quantiles], rest[1], rest[2])
+    return df.sparkSession.createDataFrame([row], f"{names[0]} bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+
+
 def label_stats(observations: DataFrame) -> DataFrame:
     """By label: how many observations and frames, first and last frame, a summary of each measure, mean and greatest extents."""
     return observations.groupBy("label").agg(

@@ -186,6 +186,16 @@ def test_components_under_any_order(spark, seed):
     assert first == sorted(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
 
 
+@given(st.lists(st.one_of(st.integers(-3, 3).map(float), st.floats(-1e6, 1e6), st.sampled_from([float("nan"), float("inf"), None])), max_size=30))
+@settings(max_examples=8, deadline=None)
+def test_whole_summary_equals_the_aggregate(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got, want = audit.whole_summary(df, "v", "v").first(), df.agg(*audit.summary("v", "v")).first()
+    assert got.asDict().keys() == want.asDict().keys()
+    for a, b in zip(got, want, strict=True):
+        assert a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double")
     r = df.agg(*audit.summary("v", "v")).first()
