@@ -109,7 +109,8 @@ def write_ply(df: DataFrame, path: str, properties: tuple[str, ...], files: int
 
     Each file is written by one task as its rows come, under another name until it is whole,
     so that a task that is tried again leaves no half file. A large cloud goes into several
-    files, each a range of point_idx; no rows pass through the driver.
+    files, each a range of point_idx; no rows pass through the driver. An empty table gives
+    no file.
     """
     ship(df.sparkSession)
     dealt = df.select("point_idx", *[F.col(p).cast("float").alias(p) for p in properties])
