@@ -1,10 +1,9 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Learned filters slide over the bytes of a document. Each filter has a weight for every byte
-value at each of its places, and one for a byte that belongs to a word equal to the word
-before. Responses are max-pooled in chunks that cover the whole document, neighbours
-overlapping by the filters' width, and the chunks' rectified maxima go by their mean and
-their maximum into one probability.
+Learned filters slide over the bytes of a document; each has a weight for every byte value
+at each of its places. Responses are max-pooled in chunks that cover the whole document,
+each of them overlapping the next by half, and the chunks' rectified maxima go by their mean
+and their maximum into one probability.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, binary, crc_fold, hash_spans, prepare, read_documents, runs, text_bytes
+from skein.llm.common import binary, crc_fold, prepare, read_documents, text_bytes
 from skein.llm.learn import labelled_sample
 
 #: The model is fitted on at most this many documents of each class, and this many bytes of text.
@@ -31,7 +30,7 @@ GROUP_BYTES = 1_000_000
 
 @dataclass
 class Network:
-    """kernel (WIDTH, 512, FILTERS): the second half is for bytes of repeated words; out: weights of means, then maxima."""
+    """kernel (WIDTH, 256, FILTERS): a weight for each byte value at each place; out: weights of means, then maxima."""
 
     kernel: np.ndarray
     shift: np.ndarray
@@ -39,28 +38,28 @@ class Network:
     bias: float
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte as a number, plus 256 in a word that repeats the word before; texts are parted by WIDTH zeros. And the offsets."""
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts parted by WIDTH zeros, and where each begins."""
     data, off = text_bytes([t + b"\0" * WIDTH for t in texts])
-    start, end = runs(~SPACE[data], off)
-    word = hash_spans(data, start, end - np.isin(end, off[1:]) * WIDTH)
-    again = np.flatnonzero((word[1:] == word[:-1]) & (np.searchsorted(off, start[1:], side="right") == np.searchsorted(off, start[:-1], side="right"))) + 1
-    mark = np.zeros(len(data) + 1, np.int32)
-    np.add.at(mark, start[again], 256)
-    np.add.at(mark, end[again], -256)
-    return data.astype(np.int32) + np.cumsum(mark[:-1]), off
+    return data.astype(np.int32), off
 
 
-def _chunks(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, the first window of each chunk, and each chunk's text; every text has a window at least."""
+def _chunks(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts; the first window of each half chunk; each chunk's first and second half, and its text.
+
+    A chunk is two halves in a row, and the next one begins with its second half. Every text
+    has a window at least; one of a single half is one chunk, whose halves are the same.
+    """
     windows = np.maximum(1, -(-(np.diff(off) - WIDTH) // STRIDE))
     first = np.concatenate([[0], np.cumsum(windows)])
     text = np.repeat(np.arange(len(windows)), windows)
     at = off[text] + (np.arange(first[-1]) - first[text]) * STRIDE
-    n = -(-windows // CHUNK)
+    n = -(-windows // (CHUNK // 2))
     own = np.repeat(np.arange(len(windows)), n)
-    begin = first[own] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * CHUNK
-    return at, begin, own
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = first[own] + place * (CHUNK // 2)
+    one = np.flatnonzero((place < n[own] - 1) | (n[own] == 1))
+    return at, begin, one, one + (n[own[one]] > 1), own[one]
 
 
 def _respond(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,9 +84,10 @@ def probability(net: Network, texts: list[bytes]) -> np.ndarray:
             some.append(texts[at])
             size += len(texts[at])
             at += 1
-        data, off = symbols(some)
-        place, begin, own = _chunks(off)
-        peak = np.maximum(np.maximum.reduceat(_respond(net, data, place), begin, axis=0) + net.shift, 0)
+        data, off = padded(some)
+        place, begin, one, two, own = _chunks(off)
+        half = np.maximum.reduceat(_respond(net, data, place), begin, axis=0)
+        peak = np.maximum(np.maximum(half[one], half[two]) + net.shift, 0)
         mean, top = _pool(peak, own, len(some))
         out.append(1 / (1 + np.exp(-np.clip(np.hstack([mean, top]) @ net.out + net.bias, -30, 30))))
     return np.concatenate(out)
@@ -107,7 +107,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Network:
     """Adam on the log loss of class-balanced batches; no texts of one class: a constant probability."""
     rng = np.random.default_rng(SEED)
     y = np.array(labels, dtype=np.float32)
-    net = Network(rng.normal(0, 0.05, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
+    net = Network(rng.normal(0, 0.05, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
     prior = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         net.out[:] = 0
@@ -120,16 +120,18 @@ def fit(texts: list[bytes], labels: list[int]) -> Network:
         rows = np.concatenate([rng.choice(good, BATCH // 2), rng.choice(bad, BATCH // 2)])
         for r in rows:
             if r not in cached:
-                cached[r] = symbols([texts[r]])[0]
+                cached[r] = padded([texts[r]])[0]
         data = np.concatenate([cached[r] for r in rows])
         off = np.concatenate([[0], np.cumsum([len(cached[r]) for r in rows])])
-        place, begin, own = _chunks(off)
+        place, begin, one, two, own = _chunks(off)
         value = _respond(net, data, place)
-        peak = np.maximum.reduceat(value, begin, axis=0)
+        half = np.maximum.reduceat(value, begin, axis=0)
         of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(place))))
-        # the first window that reaches its chunk's maximum, for each filter
-        where = np.where(value >= peak[of], np.arange(len(place))[:, None], len(place))
+        # the first window that reaches its half's maximum, for each filter, and that of the chunk
+        where = np.where(value >= half[of], np.arange(len(place))[:, None], len(place))
         where = np.minimum.reduceat(where, begin, axis=0)
+        peak = np.maximum(half[one], half[two])
+        where = np.where(half[one] >= half[two], where[one], where[two])
         live = peak + net.shift > 0
         h = np.where(live, peak + net.shift, 0)
         mean, top = _pool(h, own, len(rows))
@@ -143,7 +145,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Network:
         g_kernel = np.zeros_like(net.kernel)
         c, f = np.nonzero(g_h)
         for j in range(WIDTH):
-            np.add.at(g_kernel[j], (data[place[where[c, f]] + j], f), g_h[c, f])
+            g_kernel[j] = np.bincount(data[place[where[c, f]] + j] * FILTERS + f, weights=g_h[c, f], minlength=256 * FILTERS).reshape(256, FILTERS)
         adam.t = step + 1
         net.kernel = adam.step("kernel", net.kernel, g_kernel + 1e-6 * net.kernel).astype(np.float32)
         net.shift = adam.step("shift", net.shift, g_h.sum(axis=0)).astype(np.float32)
@@ -163,7 +165,7 @@ def score_documents(docs: DataFrame, net: Network, score_as: str = "score") -> D
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop(score_as)
-    shared = spark.sparkContext.broadcast(net)  # 200 kB by WIDTH and FILTERS
+    shared = spark.sparkContext.broadcast(net)  # 100 kB by WIDTH and FILTERS
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,6 +201,21 @@ def test_classifiers(spark, odd, empty, module, name, odd_class):
     assert 0 <= module.probability(module.fit([], []), [b"x"])[0] <= 1
 
 
+def test_chunks_overlap_and_cover_whole_texts():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 5, 6, 7, 95, 96, 97, 190, 400, 5000)]
+    net = quality.Network(rng.normal(0, 1, (quality.WIDTH, 256, quality.FILTERS)), rng.normal(0, 1, quality.FILTERS), rng.normal(0, 1, 2 * quality.FILTERS), 0.3)
+    half = quality.CHUNK // 2
+    for text, p in zip(texts, quality.probability(net, texts), strict=True):
+        data = text + b"\0" * quality.WIDTH
+        at = range(0, max(1, len(text)), quality.STRIDE)
+        value = np.array([sum(net.kernel[j][data[i + j]] for j in range(quality.WIDTH)) for i in at])
+        starts = range(0, max(1, -(-len(at) // half) - 1) * half, half)
+        chunk = np.array([np.maximum(value[s : s + 2 * half].max(axis=0) + net.shift, 0) for s in starts])
+        want = 1 / (1 + np.exp(-np.clip(np.concatenate([chunk.mean(axis=0), chunk.max(axis=0)]) @ net.out + net.bias, -30, 30)))
+        assert abs(p - want) < 1e-6
+
+
 def test_factorization_learns_pairs():
     rng = random.Random(2)
     texts, y = [], []
