@@ -92,8 +92,10 @@ def test_nearest_at_any_distance(spark):
     assert {(r.id, r.other) for r in spatial.nearest(same, 1, 0.1).collect()} == {(i, int(i == 0)) for i in range(50)}
 
 
+@pytest.mark.parametrize("meetings", [0, 200])  # by the rarest items, and by all that meet
 @pytest.mark.parametrize("least", [0.2, 0.5, 1.0])
-def test_set_overlap_loses_no_pair(spark, least):
+def test_set_overlap_loses_no_pair(spark, monkeypatch, least, meetings):
+    monkeypatch.setattr(spatial, "MEETINGS", meetings)
     rng = random.Random(7)
     sets = {i: {rng.randrange(30) if rng.random() < 0.9 else 100 + i for _ in range(rng.randrange(1, 20))} for i in range(30)}
     df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in [*s, *list(s)[:1]]], "id long, item long")
@@ -102,7 +104,9 @@ def test_set_overlap_loses_no_pair(spark, least):
     assert got == want
 
 
-def test_pair_relations_at_their_thresholds(spark):
+@pytest.mark.parametrize("meetings", [0, 200])
+def test_pair_relations_at_their_thresholds(spark, monkeypatch, meetings):
+    monkeypatch.setattr(spatial, "MEETINGS", meetings)
     df = boxes(spark, box(1, 0.0, 1.0), box(2, 0.0, 0.8), box(3, 0.0, 0.95), box(4, 0.0, 0.8, "bowl"), box(5, 50.0, 1.0), box(6, 51.0, 1.0))
     none = spark.createDataFrame([], "id long, item long")
     got = {(r.a, r.b): r.relation for r in pairs.relate(pairs.pair_evidence(df, none, 1.0)).collect()}
