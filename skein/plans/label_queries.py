@@ -146,6 +146,17 @@ def g03_greedy_groups(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["g03_greedy_groups"] = g03_greedy_groups
+# each brand's labels one after another: which are used after k of them, and how many groups there are
+SQL["g03_greedy_groups"] = """WITH RECURSIVE l AS (SELECT DISTINCT p_brand AS scope, p_name AS label FROM part),
+e AS (SELECT a.scope, a.label, b.label AS other FROM l a JOIN l b ON a.scope = b.scope AND a.label < b.label AND (contains(a.label,b.label) OR contains(b.label,a.label) OR list_has_any(string_split(a.label,' '), string_split(b.label,' ')))),
+f AS (SELECT scope, label, list(other) AS later FROM e GROUP BY scope, label),
+o AS (SELECT scope, label, later, row_number() OVER (PARTITION BY scope ORDER BY label) AS k FROM f),
+st(scope, k, used, n, grp) AS (
+  SELECT DISTINCT scope, 0::BIGINT, []::VARCHAR[], 0, []::VARCHAR[] FROM l
+  UNION ALL SELECT st.scope, o.k, CASE WHEN list_contains(used, label) THEN used ELSE list_concat(used, [label], later) END,
+    CASE WHEN list_contains(used, label) THEN n ELSE n + 1 END, CASE WHEN list_contains(used, label) THEN [] ELSE list_concat([label], later) END
+  FROM st JOIN o ON o.scope = st.scope AND o.k = st.k + 1)
+SELECT scope, printf('group_%03d', n - 1) AS group_id, unnest(grp) AS label FROM st WHERE len(grp) > 0"""
 
 
 def p14_similarity_repair(spark, sf_dir: str) -> DataFrame:
