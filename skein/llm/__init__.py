@@ -1,4 +1,4 @@
-"""Operators for training-data corpora: ten Spark jobs over text tables.
+"""Operators for training-data corpora: thirteen Spark jobs over text tables.
 
 Nothing outside this subpackage imports it.
 """

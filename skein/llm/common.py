@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.sources.ship import ship
@@ -25,6 +25,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+def numbered(df: DataFrame, *order: Column, as_: str = "place") -> DataFrame:
+    """df, written, with a running number from 0 over all rows in order: rows are dealt by ranges, sorted there, and take their place after the sizes of the ranges before, a table of one row a range."""
+    rows = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    own = F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.df.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count("*").alias("__c"))
+    before = sizes.select("__range", (F.sum("__c").over(Window.orderBy("__range")) - F.col("__c")).alias("__before"))
+    placed = rows.df.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(before), "__range")
+    return placed.withColumn(as_, F.col("__before") + own).drop("__range", "__before", "__at")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontam, lines, lm, pii, quality, repeats, simhash, toxicity, winnow
+from skein.llm import bpe, crosstok, decontam, lines, lm, merkle, mixing, pii, quality, repeats, simhash, toxicity, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_pii": pii.op9_pii,
         "op10_bpe": bpe.op10_bpe,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_mixing": mixing.op12_mixing,
+        "op13_alignment": crosstok.op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.OP3_SQL}
+    return {"op3_line_dedup": lines.OP3_SQL, "op11_merkle": merkle.OP11_SQL, "op12_mixing": mixing.OP12_SQL}
