@@ -12,7 +12,7 @@ from skein.functions import labels as L
 from skein.operators import associate as S
 from skein.operators import lift as X
 from skein.plans import proxies as P
-from skein.sources.scratch import scratch_root
+from skein.sources.scratch import scratch_root, store
 from skein.streaming.tasks import run_once
 
 QUERIES: dict = {}
@@ -202,11 +202,72 @@ def scene_observations(spark, sf_dir: str, observations: DataFrame | None = None
     return o.select(F.col("user").alias("scene"), "obs", "frame", "label", box(-1).alias("low"), box(1).alias("high"), F.array("cx", "cy", "cz").alias("center"), points.alias("points"), (F.col("value") / 100).alias("score"))
 
 
+def _log_rows(log: DataFrame) -> DataFrame:
+    """The log with its scores as whole millionths; how many objects were tried is the index's business."""
+    whole = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("bigint").alias(c)
+    return log.select("scene", "obs", "frame", "action", "object_id", "best_id", whole("score"), *[whole(p) for p in S.PARTS])
+
+
 def t05_association(spark, sf_dir: str) -> DataFrame:
-    return S.fold(scene_observations(spark, sf_dir))
+    return _log_rows(S.fold(scene_observations(spark, sf_dir)))
 
 
 QUERIES["t05_association"] = t05_association
+# A recursion over each scene's observations in order; its state is the list of the scene's objects.
+_V_FOLD = P.V_OBS + """, ob AS (
+  SELECT user AS scene, obs, frame, label, [cx - 0.25, cy - 0.25, cz - 0.25] AS low, [cx + 0.25, cy + 0.25, cz + 0.25] AS high, [cx, cy, cz] AS center, CASE WHEN obs % 97 > 0 THEN list_transform(range(10), lambda i: user * 100 + k + i) END AS points, value / 100 AS score,
+         row_number() OVER (PARTITION BY user ORDER BY frame, obs) AS turn FROM v_obs
+), steps(scene, turn, objects, entry) AS (
+  SELECT DISTINCT scene, 0::BIGINT, []::STRUCT(low DOUBLE[], high DOUBLE[], points BIGINT[], labels VARCHAR[], label VARCHAR, last BIGINT)[],
+         NULL::STRUCT(obs BIGINT, action VARCHAR, object BIGINT, best BIGINT, score DOUBLE, parts DOUBLE[]) FROM ob
+  UNION ALL
+  SELECT scene, turn,
+    CASE WHEN points IS NULL THEN objects
+         WHEN best.score >= 0.55 THEN list_transform(objects, lambda o, i: CASE WHEN i <> best.i THEN o ELSE struct_pack(
+                low := list_transform([1, 2, 3], lambda a: least(o.low[a], low[a])), high := list_transform([1, 2, 3], lambda a: greatest(o.high[a], high[a])), points := list_distinct(list_concat(o.points, points)),
+                labels := list_concat(o.labels, [label]), last := greatest(o.last, frame),
+                label := list_sort(list_transform(list_distinct(list_concat(o.labels, [label])), lambda l: struct_pack(n := -len(list_filter(list_concat(o.labels, [label]), lambda x: x = l)), l := l)))[1].l) END)
+         ELSE list_append(objects, struct_pack(low := low, high := high, points := list_distinct(points), labels := [label], label := label, last := frame)) END,
+    struct_pack(obs := obs, action := CASE WHEN points IS NULL THEN 'skipped_missing_hit_points' WHEN best.score >= 0.55 THEN 'match' ELSE 'new' END,
+                object := CASE WHEN points IS NULL THEN NULL WHEN best.score >= 0.55 THEN best.i - 1 ELSE len(objects) END, best := CASE WHEN points IS NOT NULL THEN best.i - 1 END,
+                score := CASE WHEN points IS NOT NULL THEN CASE WHEN best.i IS NULL THEN 0 ELSE best.score END END, parts := CASE WHEN points IS NOT NULL THEN best.parts END)
+  FROM (
+    SELECT *, list_reduce(list_prepend(struct_pack(i := NULL::BIGINT, raw := -1e9::DOUBLE, score := -1e9::DOUBLE, parts := NULL::DOUBLE[]), scored), lambda b, c: CASE WHEN c.raw > b.score THEN c ELSE b END) AS best FROM (
+      SELECT *, list_transform(measured, lambda m: struct_pack(i := m.i, raw := CASE WHEN m.p[3] < 0.35 THEN least(m.total, 0.35 - 1e-6) ELSE m.total END, score := round(CASE WHEN m.p[3] < 0.35 THEN least(m.total, 0.35 - 1e-6) ELSE m.total END, 6), parts := list_transform(m.p, lambda x: round(x, 6)))) AS scored FROM (
+        SELECT *, list_transform(parts, lambda m: struct_pack(i := m.i, p := m.p, total := (((0.25::DOUBLE * m.p[1] + 0.35::DOUBLE * m.p[2]) + 0.20::DOUBLE * m.p[3]) + 0.15::DOUBLE * m.p[4]) + 0.05::DOUBLE * m.p[5])) AS measured FROM (
+          SELECT ob.*, s.objects, list_transform(s.objects, lambda o, i: struct_pack(i := i, p := [
+              list_transform([list_product(list_transform([1, 2, 3], lambda a: greatest(0, least(o.high[a], ob.high[a]) - greatest(o.low[a], ob.low[a]))))], lambda v:
+                CASE WHEN v > 0 THEN v / (list_product(list_transform([1, 2, 3], lambda a: o.high[a] - o.low[a])) + list_product(list_transform([1, 2, 3], lambda a: ob.high[a] - ob.low[a])) - v) ELSE 0 END)[1],
+              len(list_intersect(o.points, ob.points))::DOUBLE / greatest(least(len(o.points), len(list_distinct(ob.points))), 1),
+              CASE WHEN o.label = ob.label THEN 1 WHEN contains(o.label, ob.label) OR contains(ob.label, o.label) THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END,
+              exp(-sqrt(list_sum(list_transform([1, 2, 3], lambda a: pow(ob.center[a] - round((o.low[a] + o.high[a]) * 0.5::DOUBLE, 6), 2))))
+                / greatest((sqrt(list_sum(list_transform([1, 2, 3], lambda a: pow(ob.high[a] - ob.low[a], 2)))) + sqrt(list_sum(list_transform([1, 2, 3], lambda a: pow(round(o.high[a] - o.low[a], 6), 2))))) * 0.5::DOUBLE, 0.5::DOUBLE)),
+              exp(-greatest(0, ob.frame - o.last)::DOUBLE / 60.0::DOUBLE)])) AS parts
+          FROM steps s JOIN ob ON ob.scene = s.scene AND ob.turn = s.turn + 1))))
+), log AS (
+  SELECT s.scene, ob.obs, ob.frame, ob.label, ob.low, ob.high, ob.points, ob.score AS box_score, entry.action AS action, format('obj_{:06d}', entry.object) AS object_id, CASE WHEN entry.best IS NOT NULL THEN format('obj_{:06d}', entry.best) END AS best_id, entry.score AS score, entry.parts AS parts
+  FROM steps s JOIN ob ON ob.scene = s.scene AND ob.turn = s.turn WHERE s.turn > 0)"""
+_FOLD = "WITH RECURSIVE " + _V_FOLD
+SQL["t05_association"] = _FOLD + " SELECT scene, obs, frame, action, object_id, best_id, floor(score*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS score, " + ", ".join(f"floor(parts[{i + 1}]*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS {p}" for i, p in enumerate(S.PARTS)) + " FROM log"
+
+
+def t05_objects(spark, sf_dir: str) -> DataFrame:
+    """The objects that the association makes, their labels, support, points and boxes."""
+    o = scene_observations(spark, sf_dir)
+    log = store(S.fold(o)).df
+    t = S.object_table(o, log)
+    whole = lambda c: F.floor(c * 1e6 + 0.5).cast("bigint")
+    return t.select("scene", "object_id", "status", "label", F.concat_ws(",", "aliases").alias("aliases"), "first_frame", "last_frame", "frames", "seen", "points", whole(F.col("mean_score")).alias("mean_score"), *[whole(F.col(c)[i]).alias(f"{c}_{a}") for c in ("low", "high", "center") for i, a in enumerate("xyz")])
+
+
+QUERIES["t05_objects"] = t05_objects
+SQL["t05_objects"] = _FOLD + """, n AS (SELECT scene, object_id, label, count(*) AS n FROM log WHERE object_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT scene, object_id, arg_min(label, struct_pack(n := -n, l := label)) AS label, string_agg(label, ',' ORDER BY label) AS aliases FROM n GROUP BY ALL),
+p AS (SELECT scene, object_id, count(DISTINCT point) AS points FROM (SELECT scene, object_id, unnest(points) AS point FROM log WHERE object_id IS NOT NULL) GROUP BY ALL),
+w AS (SELECT scene, object_id, min(frame) AS first_frame, max(frame) AS last_frame, count(DISTINCT frame) AS frames, count(*) AS seen, avg(box_score) AS mean_score, """ + ", ".join(f"min(low[{i}]) AS low{i}, max(high[{i}]) AS high{i}" for i in (1, 2, 3)) + """ FROM log WHERE object_id IS NOT NULL GROUP BY scene, object_id)
+SELECT scene, object_id, CASE WHEN seen > 1 AND (frames >= 2 OR seen >= 3) THEN 'confirmed' ELSE 'candidate' END AS status, label, aliases, first_frame, last_frame, frames, seen, points, floor(mean_score*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS mean_score, """ + ", ".join(
+    f"floor({x}*1e6::DOUBLE+0.5::DOUBLE)::BIGINT AS {name}_{a}" for i, a in enumerate("xyz", 1) for name, x in (("low", f"low{i}"), ("high", f"high{i}"), ("center", f"round((low{i}+high{i})*0.5::DOUBLE, 6)"))
+) + " FROM w JOIN l USING (scene, object_id) JOIN p USING (scene, object_id)"
 
 
 def a17_frame_events(spark, sf_dir: str) -> DataFrame:
@@ -215,6 +276,9 @@ def a17_frame_events(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["a17_frame_events"] = a17_frame_events
+SQL["a17_frame_events"] = _FOLD + """, e AS (SELECT scene, frame, obs, action, object_id FROM log WHERE object_id IS NOT NULL)
+SELECT scene, frame, count(*)::INT AS n_events, '[' || string_agg('{"obs":' || obs || ',"action":"' || action || '","object_id":"' || object_id || '"}', ',' ORDER BY obs) || ']' AS events,
+ '{' || concat_ws(',', CASE WHEN count(*) FILTER (WHERE action = 'match') > 0 THEN '"match":' || count(*) FILTER (WHERE action = 'match') END, CASE WHEN count(*) FILTER (WHERE action = 'new') > 0 THEN '"new":' || count(*) FILTER (WHERE action = 'new') END) || '}' AS counts FROM e GROUP BY scene, frame"""
 
 
 def t05_stream_association(spark, sf_dir: str) -> DataFrame:
@@ -222,17 +286,20 @@ def t05_stream_association(spark, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = f"{scratch_root(spark)}/fold-{uuid.uuid4().hex}"
-    return run_once(S.fold_stream(scene_observations(spark, sf_dir, P.event_observations(stream))), out + "/checkpoint", out + "/rows")
+    return _log_rows(run_once(S.fold_stream(scene_observations(spark, sf_dir, P.event_observations(stream))), out + "/checkpoint", out + "/rows"))
 
 
 QUERIES["t05_stream_association"] = t05_stream_association
+SQL["t05_stream_association"] = SQL["t05_association"]
 
 
 def a13_running_mean(spark, sf_dir: str) -> DataFrame:
-    """The running mean of a user's values, as whole millionths, and the union of their points so far."""
+    """The running mean of a user's values, as whole millionths, and how many places there were so far: each counts where it first comes."""
     w = Window.partitionBy("user").orderBy("frame", "obs").rowsBetween(Window.unboundedPreceding, 0)
     o = P.observations(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    return o.select("obs", F.floor(F.sum("cents").over(w) * 10000.0 / F.count("*").over(w) + 0.5).cast("bigint").alias("mean"), F.size(F.collect_set("k").over(w)).cast("bigint").alias("places"))
+    first = F.col("k").isNotNull() & (F.row_number().over(Window.partitionBy("user", "k").orderBy("frame", "obs")) == 1)
+    o = o.withColumn("new", first.cast("bigint"))
+    return o.select("obs", F.floor(F.sum("cents").over(w) * 10000.0 / F.count("*").over(w) + 0.5).cast("bigint").alias("mean"), F.sum("new").over(w).alias("places"))
 
 
 QUERIES["a13_running_mean"] = a13_running_mean
