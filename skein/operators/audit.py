@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry as G
+from skein.operators.quantiles import quantiles_by_key, wide
 from skein.sources.scratch import store
 from skein.sources.ship import ship
 
@@ -21,7 +21,7 @@ def _name(prefix: str, q: float) -> str:
 
 
 def summary(column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> list[Column]:
-    """Aggregates over the finite values of a column, by a key: count, least, quantiles between neighbours, greatest, mean; null over none. For a whole table there is whole_summary."""
+    """Aggregates over the finite values of a column, for groups known to be small: count, least, quantiles between neighbours, greatest, mean; null over none. Where a key may have any number of values there is key_summary, for a whole table whole_summary."""
     x = F.col(column).cast("double")
     x = F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
     q = F.percentile(x, F.array(*[F.lit(v) for v in quantiles]))
@@ -32,39 +32,32 @@ def summary(column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> li
     ]
 
 
+def _names(prefix: str, quantiles: tuple[float, ...]) -> dict[str, str]:
+    """The figures of a summary, in order, and what they are called."""
+    return {"n": f"{prefix}_count", "least": f"{prefix}_min", **{f"q{i}": _name(prefix, q) for i, q in enumerate(quantiles)}, "greatest": f"{prefix}_max", "mean": f"{prefix}_mean"}
+
+
+def key_summary(df: DataFrame, keys: list[str], measures: dict[str, Column], quantiles: tuple[float, ...] = LONG) -> DataFrame:
+    """One row a key with summary's figures of each measure, under its name as prefix; no task holds a large key's values."""
+    return wide(quantiles_by_key(df, keys, measures, quantiles), keys, {m: _names(m, quantiles) for m in measures})
+
+
 def whole_summary(df: DataFrame, column: str, prefix: str, quantiles: tuple[float, ...] = LONG) -> DataFrame:
-    """One row with summary's figures of a whole table, exact, without a task that holds all values.
+    """One row with summary's figures of a whole table, exact, without a task that holds all values of a large one."""
+    return key_summary(df, [], {prefix: F.col(column)}, quantiles).withColumn(f"{prefix}_count", F.coalesce(f"{prefix}_count", F.lit(0)).cast("bigint"))
 
-    Equal values are counted first, by partial aggregates. The different ones are dealt by
-    ranges; each finds its place after the ranges before it, a table of one row a range, and
-    only the values at the quantiles' places go to the driver, two for each.
-    """
-    x = F.col(column).cast("double")
-    finite = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    n, *rest = finite.agg(F.count("x"), F.min("x"), F.max("x"), F.avg("x")).first()
-    at = {q: q * (n - 1) for q in quantiles if n}
-    places = sorted({f(t) for t in at.values() for f in (math.floor, math.ceil)})
-    found: dict[int, float] = {}
-    if n:
-        counted = store(finite.groupBy("x").agg(F.count("*").alias("c")).repartitionByRange("x").withColumn("p", F.spark_partition_id())).df
-        sizes = counted.groupBy("p").agg(F.sum("c").alias("size"))
-        before = sizes.select("p", (F.sum("size").over(Window.orderBy("p")) - F.col("size")).alias("before"))  # a row a range
-        upto = F.sum("c").over(Window.partitionBy("p").orderBy("x")) + F.col("before")
-        placed = counted.join(F.broadcast(before), "p").withColumn("upto", upto)
-        wanted = F.filter(F.array(*[F.lit(i).cast("bigint") for i in places]), lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("c")))
-        found = {r.i: r.x for r in placed.select("x", F.explode(wanted).alias("i")).collect()}
-    between = lambda t: found[math.floor(t)] + (found[math.ceil(t)] - found[math.floor(t)]) * (t - math.floor(t))
-    names = [f"{prefix}_count", f"{prefix}_min", *[_name(prefix, q) for q in quantiles], f"{prefix}_max", f"{prefix}_mean"]
-    row = (n, rest[0], *[between(at[q]) if n else None for q in quantiles], rest[1], rest[2])
-    return df.sparkSession.createDataFrame([row], f"{names[0]} bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+
+def _beside(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a and b, a row a key each, side by side; a null key meets a null key."""
+    return a.join(b.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def label_stats(observations: DataFrame) -> DataFrame:
-    """By label: how many observations and frames, first and last frame, a summary of each measure, mean and greatest extents."""
-    return observations.groupBy("label").agg(
-        F.count("*").alias("n"), F.countDistinct("frame").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
-        *summary("value", "value"), *[F.max(f"c{a}").alias(f"max_{a}") for a in G.AXES],
-    )
+    """By label: how many observations and frames, first and last frame, a summary of each measure, greatest extents."""
+    frames = observations.groupBy("label", "frame").agg(F.count("*").alias("c"), *[F.max(f"c{a}").alias(f"max_{a}") for a in G.AXES])
+    counts = frames.groupBy("label").agg(F.sum("c").alias("n"), F.count("frame").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), *[F.max(f"max_{a}").alias(f"max_{a}") for a in G.AXES])
+    figures = key_summary(observations, ["label"], {"value": F.col("value")})
+    return _beside(counts, figures, "label").select("label", "n", "frames", "first_frame", "last_frame", *_names("value", LONG).values(), *[f"max_{a}" for a in G.AXES])
 
 
 def frequency(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -94,7 +87,8 @@ SEVERITY = {
 
 
 def label_baselines(objects: DataFrame) -> DataFrame:
-    return objects.withColumn("volume", G.volume("")).groupBy("label").agg(F.count("*").alias("n"), *summary("volume", "volume", SHORT), *summary("points", "points", SHORT), *summary("frames", "frames", SHORT))
+    figures = key_summary(objects, ["label"], {"volume": G.volume(""), "points": F.col("points"), "frames": F.col("frames")}, SHORT)
+    return _beside(objects.groupBy("label").agg(F.count("*").alias("n")), figures, "label")
 
 
 def quality_rows(objects: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -103,7 +97,7 @@ def quality_rows(objects: DataFrame, rules: QualityRules = QualityRules()) -> Da
     o = objects.withColumn("volume", G.volume("")).withColumn("sizes", sizes)
     o = o.withColumn("aspect", F.when(F.size("sizes") > 0, F.array_max("sizes") / F.array_min("sizes")).otherwise(0.0))
     o = o.withColumn("purity", F.col("top_count") / F.greatest(F.col("seen"), F.lit(1)))
-    base = o.groupBy("label").agg(F.percentile("volume", F.lit(0.75)).alias("p75"))
+    base = quantiles_by_key(objects, ["label"], {"volume": G.volume("")}, (0.75,)).select("label", F.col("q0").alias("p75"))
     o = o.join(base, "label").withColumn("ratio", F.when(F.col("p75") != 0, F.col("volume") / F.greatest("p75", F.lit(1e-12))))
     tests = {
         "watch_label": F.col("label").isin(*rules.watch) if rules.watch else F.lit(False),
@@ -122,25 +116,27 @@ def quality_rows(objects: DataFrame, rules: QualityRules = QualityRules()) -> Da
 
 def percentile_boxes(members: DataFrame, points: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(id, n, bounds, centre, volume): of each set of members (id, point) a box between two percentiles of each axis, and the mean of the points inside, or of all if none is."""
-    at = members.join(points, "point")
-    bounds = at.groupBy("id").agg(F.count("*").alias("n"), *[F.percentile(a, F.array(F.lit(low), F.lit(high))).alias(f"q{a}") for a in G.AXES])
-    bounds = bounds.select("id", "n", *[F.col(f"q{a}")[k].alias(f"{a}{k}") for a in G.AXES for k in (0, 1)])
+    at = store(members.join(points, "point").select("id", *G.AXES)).df
+    figures = quantiles_by_key(at, ["id"], {a: F.col(a) for a in G.AXES}, (low, high))
+    bounds = wide(figures, ["id"], {a: ({"n": "n"} if a == "x" else {}) | {"q0": f"{a}0", "q1": f"{a}1"} for a in G.AXES})
     both = at.join(bounds, "id")
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("z").between(F.col("z0"), F.col("z1"))
-    mid = both.groupBy("id").agg(*[F.coalesce(F.avg(F.when(inside, F.col(a))), F.avg(a)).alias(f"c{a}") for a in G.AXES], F.count_if(inside).alias("inside"))
-    return bounds.join(mid, "id").withColumn("volume", G.volume(""))
+    edges = [f"{a}{k}" for a in G.AXES for k in (0, 1)]
+    mid = both.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", *edges)], *[F.coalesce(F.avg(F.when(inside, F.col(a))), F.avg(a)).alias(f"c{a}") for a in G.AXES], F.count_if(inside).alias("inside"))
+    return mid.withColumn("volume", G.volume("")).select("id", "n", *edges, *[f"c{a}" for a in G.AXES], "inside", "volume")
 
 
 def oriented_boxes(members: DataFrame, points: DataFrame, low: float = 0.02, high: float = 0.98, least: int = 8) -> DataFrame:
     """(id, n, e0, e1, e2): extents of each set along its own axes, greatest first; sets under `least` points have their plain box's.
 
     Covariances are aggregates, so only six numbers a set reach Python, for the axes; the
-    extents are percentiles of projections on them, again aggregates.
+    extents lie between percentiles of the projections on them, which don't depend on where
+    the axes begin.
     """
-    at = members.join(points, "point")
+    at = store(members.join(points, "point").select("id", *G.AXES)).df
     ship(members.sparkSession)
     pairs = [(a, b) for i, a in enumerate(G.AXES) for b in G.AXES[i:]]
-    moments = at.groupBy("id").agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(a + b) for a, b in pairs], *[F.percentile(a, F.lit(0.5)).alias(f"m{a}") for a in G.AXES], *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in G.AXES])
+    moments = at.groupBy("id").agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(a + b) for a, b in pairs], *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in G.AXES])
 
     def axes(batches):
         import numpy as np
@@ -148,11 +144,15 @@ def oriented_boxes(members: DataFrame, points: DataFrame, low: float = 0.02, hig
         for pdf in batches:
             c = pdf[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy().reshape(-1, 3, 3)
             v = np.linalg.eigh(np.where(np.isfinite(c), c, 0.0))[1]
-            yield pdf[["id", "n", "mx", "my", "mz", "sx", "sy", "sz"]].assign(**{f"v{i}{j}": v[:, i, j] for i in range(3) for j in range(3)})
-
-    schema = "id bigint, n bigint, mx double, my double, mz double, sx double, sy double, sz double, " + ", ".join(f"v{i}{j} double" for i in range(3) for j in range(3))
-    framed = moments.mapInPandas(axes, schema)
-    on_axis = lambda j: sum((F.col(a) - F.col(f"m{a}")) * F.col(f"v{i}{j}") for i, a in enumerate(G.AXES))
-    spread = at.join(framed, "id").groupBy("id").agg(F.first("n").alias("n"), *[(F.percentile(on_axis(j), F.lit(high)) - F.percentile(on_axis(j), F.lit(low))).alias(f"w{j}") for j in range(3)], *[F.first(f"s{a}").alias(f"s{a}") for a in G.AXES])
+            yield pdf[["id", "n", "sx", "sy", "sz"]].assign(**{f"v{i}{j}": v[:, i, j] for i in range(3) for j in range(3)})
+
+    schema = f"id {members.schema['id'].dataType.simpleString()}, n bigint, sx double, sy double, sz double, " + ", ".join(f"v{i}{j} double" for i in range(3) for j in range(3))
+    framed = store(moments.mapInPandas(axes, schema)).df
+    on_axis = lambda j: sum(F.col(a) * F.col(f"v{i}{j}") for i, a in enumerate(G.AXES))
+    many = at.join(framed.where(F.col("n") >= least), "id")
+    figures = quantiles_by_key(many, ["id"], {f"w{j}": on_axis(j) for j in range(3)}, (low, high))
+    extents = figures.select("id", "measure", (F.col("q1") - F.col("q0")).alias("w"))
+    found = wide(extents, ["id"], {f"w{j}": {"w": f"w{j}"} for j in range(3)})
+    both = framed.select("id", "n", "sx", "sy", "sz").join(found, "id", "left")
     e = F.sort_array(F.when(F.col("n") >= least, F.array("w0", "w1", "w2")).otherwise(F.array("sx", "sy", "sz")), asc=False)
-    return spread.select("id", "n", *[e[i].alias(f"e{i}") for i in range(3)])
+    return both.select("id", "n", *[e[i].alias(f"e{i}") for i in range(3)])

@@ -33,8 +33,8 @@ def _summary_sql(x: str, prefix: str, quantiles: tuple[float, ...]) -> str:
 def a01_quantile_summary(spark, sf_dir: str) -> DataFrame:
     """Box volumes and prices, in eleven figures each; infinite and undefined ones don't count."""
     o = P.objects(spark, sf_dir).withColumn("v", G.volume("")).withColumn("odd", F.when(F.col("id") % 10 == 0, float("nan")).when(F.col("id") % 10 == 1, float("inf")).otherwise(F.col("v")))
-    both = A.whole_summary(o, "v", "v").withColumn("j", F.lit(0)).join(A.whole_summary(o, "odd", "odd", A.SHORT).withColumn("j", F.lit(0)), "j").drop("j")  # one row each
-    return _rounded(both)
+    both = A.key_summary(o, [], {"v": F.col("v"), "odd": F.col("odd")})
+    return _rounded(both.drop("odd_p05", "odd_p10", "odd_p95"))
 
 
 QUERIES["a01_quantile_summary"] = a01_quantile_summary
@@ -42,7 +42,7 @@ SQL["a01_quantile_summary"] = P.with_views(P.V_OBJECT) + f", o AS (SELECT {_VOLU
 
 
 def a02_price_summary(spark, sf_dir: str) -> DataFrame:
-    return _rounded(P.read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*A.summary("l_extendedprice", "price", A.SHORT)))
+    return _rounded(A.key_summary(P.read(spark, sf_dir, "lineitem"), ["l_returnflag"], {"price": F.col("l_extendedprice")}, A.SHORT))
 
 
 QUERIES["a02_price_summary"] = a02_price_summary
