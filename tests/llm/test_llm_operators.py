@@ -433,6 +433,52 @@ def test_op6_in_parts(spark, monkeypatch):
     assert {r.item_id for r in decontam.contaminations(df, named).where("edits = 0").collect()} == {f"item-{i}" for i in range(9)}
 
 
+@pytest.mark.parametrize("piece,group", [(2_000_000, 1_000_000), (50, 700)])
+def test_op6_bounded_pieces_find_all(monkeypatch, piece, group):
+    """Pieces of hits and windows of texts of any size give what a full alignment gives, for repeated phrases, items of one text and short items, too."""
+    monkeypatch.setattr(decontam, "PIECE", piece)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", group)
+    rng = random.Random(piece)
+    phrase = "common phrase number that every item holds"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    own = [" ".join(word() for _ in range(rng.randrange(4, 12))) for _ in range(16)]
+    items = [(i, decontam.normalise((f"{o} {phrase}" if i % 2 else o).encode())) for i, o in enumerate(own)] + [(100, b"ab"), (101, b"xyz"), (102, b"q"), (103, decontam.normalise(own[0].encode())), (104, phrase.encode())]
+
+    def spoil(text, n):
+        text = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(text))
+            text[k : k + 1] = rng.choice([[], ["z"], [text[k], "y"]])
+        return "".join(text)
+
+    texts = [" ".join(spoil(rng.choice(own), rng.randrange(0, 9)) if rng.random() < 0.4 else word() for _ in range(25)) for _ in range(6)]
+    texts += [" ".join([phrase] * 20), "", "ab", phrase + " " + own[1] + " " + phrase]
+    texts = [decontam.normalise(t.encode()) for t in texts]
+    index = decontam.build_index(items)
+    got = {(t, name): e for t, i, e, _ in decontam.find_in_windows(index, texts) for name in index.ids[i]}
+    assert got == {(t, name): d for t, whole in enumerate(texts) for name, p in items if (d := edit_distance_inside(p, whole)) <= decontam.budget(len(p))}
+    for t, i, e, end in decontam.find_in_windows(index, texts):
+        p = index.texts[i]
+        assert edit_distance_inside(p, texts[t][max(0, end - len(p) - e) : end]) == e
+
+
+def test_op6_memory_does_not_grow_with_matches():
+    """A phrase that all items hold, repeated in a text: eight times the items and eight times the text, in the same memory."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    phrase = b"common phrase number that every item holds and repeats here today"
+    peaks = []
+    for n in (50, 400):
+        items = [(i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(30)).encode() + b" " + phrase) for i in range(n)]
+        index = decontam.build_index(items)
+        tracemalloc.start()
+        assert decontam.find_in_windows(index, [b" ".join([phrase] * n)]) == []
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 200 << 20
+
+
 def test_suffix_array():
     rng = np.random.default_rng(7)
     for n in range(400):
