@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from skein.functions import labels as L
+from skein.operators.spatial import spread
 from skein.sources.ship import ship
 
 # The usual weights of the five measures, in the order they are added.
@@ -359,7 +360,7 @@ def fold(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _LOG_TYPES, strict=True)] if out else [pa.array([], t) for t in _LOG_TYPES], names=_LOG_NAMES)
 
     ship(observations.sparkSession)
-    return _taken(observations).repartition("scene").sortWithinPartitions("scene", "frame", "obs").mapInArrow(follow, LOG)
+    return spread(_taken(observations), "scene").sortWithinPartitions("scene", "frame", "obs").mapInArrow(follow, LOG)
 
 
 _LOG_TYPES = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64(), pa.string()] + [pa.float64()] * 5 + [pa.int64()]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import store
+
 #: Values of a key that are put in order in one task without a look at sketches first.
 LIMIT = 2_000_000
 #: Ranks a sketch may be off by, as a part of the values.
@@ -42,8 +44,6 @@ def _between(q: float, n: Column, low: Column, high: Column) -> Column:
 
 def _large(rows: DataFrame, group: list[str], base: DataFrame, quantiles: tuple[float, ...], accuracy: int) -> DataFrame:
     """_figures of rows whose groups all are large; base has their n, least, greatest and mean."""
-    from skein.sources.scratch import store
-
     wanted, gap, out = dict(enumerate(quantiles)), 2.0 / accuracy, base
     while wanted:
         edges = [max(0.0, q - gap) for q in wanted.values()] + [min(1.0, q + gap) for q in wanted.values()]
@@ -89,13 +89,11 @@ def quantiles_by_key(df: DataFrame, keys: list[str], measures: dict[str, Column]
     rows = df.select(*keys, F.inline(each))
     group = [*keys, "measure"]
     base = rows.groupBy(*group).agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.avg("x").alias("mean"))
-    from skein.sources.scratch import store
-
-    base = store(base).df
-    large = base.where(F.col("n") > limit)
-    some = base.agg(F.count_if(F.col("n") > limit), F.count_if(F.col("n") <= limit)).first()
+    some = rows.groupBy(*group).agg(F.count("x").alias("n")).agg(F.count_if(F.col("n") > limit), F.count_if(F.col("n") <= limit)).first()
     if not some[0]:
         return _figures(rows, group, quantiles)
+    base = store(base).df
+    large = base.where(F.col("n") > limit)
     out = _large(_same(rows.where("x is not null"), large.select(*group), group), group, large, quantiles, accuracy)
     return out.unionByName(_figures(_same(rows, base.where(F.col("n") <= limit).select(*group), group), group, quantiles)) if some[1] else out
 
