@@ -156,7 +156,8 @@ def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = No
     """The boundary to outside models: `model` maps pandas batches of at most batch_rows rows to rows of schema, such as one of MODEL_SCHEMAS.
 
     A call that fails is tried `retries` times more, after `wait` seconds and then twice as
-    long each time. A batch that fails for good comes back row by row, each failure in `error`.
+    long each time. A batch that fails for good comes back row by row, each row tried as
+    often, each failure in `error`. An error that the model itself gives for a row is kept.
     """
 
     ship(rows.sparkSession)
@@ -165,7 +166,9 @@ def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = No
     def call(batch: pd.DataFrame, tries: int) -> pd.DataFrame:
         for n in range(tries + 1):
             try:
-                return model(batch).assign(error=None)
+                made = model(batch)
+                own = made["error"].astype(object) if "error" in made else pd.Series(None, index=made.index, dtype=object)
+                return made.assign(error=own.where(own.notna(), None))
             except Exception:  # noqa: BLE001  whatever an outside model raises
                 if n == tries:
                     raise
@@ -181,7 +184,7 @@ def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = No
                 except Exception:  # noqa: BLE001  one bad row must not end the job: its neighbours are tried alone
                     for i in range(len(some)):
                         try:
-                            yield call(some.iloc[i : i + 1], 0)
+                            yield call(some.iloc[i : i + 1], retries)
                         except Exception as e:  # noqa: BLE001
                             row = some.iloc[i : i + 1].assign(error=f"{type(e).__name__}: {e}")
                             yield row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)

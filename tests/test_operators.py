@@ -296,6 +296,18 @@ def test_model_boundary_isolates_rows(spark):
     assert got[3] == (None, "RuntimeError: bad row") and all(got[k] == ("ok", None) for k in (0, 1, 2, 4, 5))
 
 
+def test_errors_of_the_model_itself_and_busy_services(spark):
+    def model(batch, calls=[]):  # noqa: B006  a worker's own count of its calls
+        calls.append(len(batch))
+        if len(batch) > 1 or len(calls) % 3:
+            raise RuntimeError("busy")
+        return batch.assign(v="ok", error=["refused" if k == 2 else None for k in batch["k"]])
+
+    df = spark.range(4).coalesce(1).withColumnRenamed("id", "k")
+    got = {r.k: (r.v, r.error) for r in tags.apply_model(df, model, "k bigint, v string, error string", retries=3).collect()}
+    assert got == {0: ("ok", None), 1: ("ok", None), 2: ("ok", "refused"), 3: ("ok", None)}
+
+
 def test_model_calls_are_batched_and_tried_again(spark):
     def detector(batch, tried=[]):  # noqa: B006  a worker's own memory of what it has failed once
         assert len(batch) <= 2

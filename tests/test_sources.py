@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import math
 
 import numpy as np
 import pytest
@@ -109,6 +110,58 @@ def test_npz_to_sets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sets")).count() == 70002
 
 
+def test_npz_types_are_kept(spark, tmp_path):
+    """Floats and large unsigned numbers come back as they are, or not at all."""
+    data = {"f": np.array([0.5, 1.9, -2.7, np.nan]), "g": np.array([0.1, 3], np.float32), "u": np.array([0, 1 << 63, (1 << 64) - 1], np.uint64), "i": np.array([-5, (1 << 62) + 1]), "b": np.array([True, False]), "m": np.asfortranarray(np.arange(6, dtype=">i2").reshape(2, 3))}
+    for save, folder in ((np.savez, "stored"), (np.savez_compressed, "packed")):
+        (tmp_path / folder).mkdir()
+        save(tmp_path / folder / "x.npz", **data)
+        path = str(tmp_path / folder)
+        listed = {r.key: (r.dtype, r.shape, r.n, r.begin is not None) for r in arrays.list_npz(spark, path).collect()}
+        assert listed == {k: (v.dtype.str, list(v.shape), v.size, save is np.savez) for k, v in data.items()}
+        read = lambda key, value, p=path: [r.idx for r in arrays.read_npz(spark, p, value, [key], rows=2).orderBy("place").collect()]
+        got = read("f", "double")
+        assert got[:3] == [0.5, 1.9, -2.7] and math.isnan(got[3])
+        assert read("g", "float") == data["g"].tolist() == read("g", "double")
+        assert [int(x) for x in read("u", "decimal(20,0)")] == [0, 1 << 63, (1 << 64) - 1]
+        assert read("i", "bigint") == [-5, (1 << 62) + 1] and read("b", "bigint") == [1, 0] and read("m", "bigint") == list(range(6))
+        for key, value in (("f", "bigint"), ("u", "bigint"), ("i", "float"), ("f", "float")):
+            with pytest.raises(Exception, match="fit"):
+                read(key, value)
+
+
+def test_npz_round_trip_and_what_earlier_runs_left(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for files, n in ((3, 5), (1, 2)):
+        df = spark.range(n * 70_000).select(F.format_string("k%d", F.col("id") % n).alias("key"), F.floor(F.col("id") / n).alias("place"), (F.col("id") * 0.5).alias("idx"))
+        names = arrays.write_npz(df, path, "float64", files)
+        assert len(names) <= files and sorted(str(p) for p in (tmp_path / "out").iterdir()) == names
+        back = arrays.read_npz(spark, path, "double")
+        assert back.select("key", "place", "idx").exceptAll(df).count() == 0 and back.count() == df.count()
+        held = {k: v for name in names for k, v in np.load(name).items()}
+        assert held.keys() == {f"k{i}" for i in range(n)} and all(v.dtype == np.float64 and len(v) == 70_000 for v in held.values())
+    with pytest.raises(Exception, match="fit"):
+        arrays.write_npz(spark.createDataFrame([("a", 0, 300)], "key string, place long, idx long"), path, "uint8")
+    with pytest.raises(Exception, match="gaps"):
+        arrays.write_npz(spark.createDataFrame([("a", 1, 3)], "key string, place long, idx long"), path, "uint8")
+    assert sorted(str(p) for p in (tmp_path / "out").iterdir() if p.suffix) == names
+    big = spark.createDataFrame([("u", 0, 0), ("u", 1, (1 << 64) - 1)], "key string, place long, idx decimal(20,0)")
+    arrays.write_npz(big, str(tmp_path / "big"), "uint64")
+    assert [int(r.idx) for r in arrays.read_npz(spark, str(tmp_path / "big"), "decimal(20,0)").orderBy("place").collect()] == [0, (1 << 64) - 1]
+
+
+def test_ply_types_and_what_earlier_runs_left(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("point_idx"), *[F.col("id").cast("double").alias(c) for c in arrays.PLY_REQUIRED], (F.col("id") + (1 << 30)).alias("n"), (F.col("id") % 256).alias("red"))
+    kinds = {**dict.fromkeys(arrays.PLY_REQUIRED, "double"), "n": "uint", "red": "uchar"}
+    path = str(tmp_path / "cloud")
+    arrays.write_ply(df, path, kinds, files=4)
+    names = arrays.write_ply(df, path, kinds, files=2)
+    assert sorted(str(p) for p in (tmp_path / "cloud").iterdir()) == names
+    back = arrays.read_ply(spark, path)
+    assert dict(back.dtypes)["x"] == "double" and dict(back.dtypes)["n"] == "bigint" and dict(back.dtypes)["red"] == "smallint"
+    assert sorted((r.x, r.n, r.red) for r in back.collect()) == sorted((float(r.x), r.n, r.red) for r in df.collect())
+
+
 def test_masks_are_resized(spark):
     on = spark.createDataFrame([(1, 0, 0, 255, 2, 2), (1, 1, 1, 127, 2, 2), (1, 1, 0, 200, 2, 2)], "mask int, u int, v int, value int, w int, h int")
     got = {(r.u, r.v) for r in arrays.mask_pixels(on, 4, 4).collect()}
