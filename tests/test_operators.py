@@ -104,6 +104,33 @@ def test_set_overlap_loses_no_pair(spark, monkeypatch, least, meetings):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [0.1, 0.5, 1.0])
+def test_heavy_items_are_counted_apart(spark, monkeypatch, least):
+    """One item in most sets, some in many, and sets of heavy items alone: the defined pairs, whatever counts as heavy."""
+    rng = random.Random(9)
+    sets = {i: {rng.randrange(40, 400) for _ in range(rng.randrange(0, 12))} | ({0} if i % 5 else set()) | {rng.randrange(1, 8) for _ in range(rng.randrange(0, 5))} for i in range(150)}
+    members = [(i, x) for i, own in sets.items() for x in own]
+    df = spark.createDataFrame(members + members[:20], "id long, item long").repartition(5)
+    also = [(i, i + 7) for i in range(0, 140, 3)]
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and (n := len(sets[a] & sets[b])) and (n >= least * min(len(sets[a]), len(sets[b])) or (a, b) in also):
+                want[a, b] = n
+    for meetings, most in ((200, 5000), (5, 5000), (200, 10), (0, 0)):
+        monkeypatch.setattr(spatial, "MEETINGS", meetings)
+        monkeypatch.setattr(spatial, "MOST", most)
+        assert {(r.a, r.b): r.shared for r in spatial.common_counts(df, least, spark.createDataFrame(also, "a long, b long")).collect()} == want
+
+
+def test_a_heavy_item_makes_no_square(spark):
+    """An item of 20,000 sets among others that few share: it meets nobody, and pairs count it all the same."""
+    n = 20_000
+    df = spark.range(n).select("id", F.explode(F.array(F.lit(-1), F.col("id"), F.floor(F.col("id") / 2) + n, F.floor(F.col("id") / 2) + 2 * n)).alias("item"))
+    got = spatial.set_overlap(df, 0.6)
+    assert got.agg(F.count("*"), F.min("shared"), F.max("shared")).first() == (n // 2, 3, 3)
+
+
 @pytest.mark.parametrize("meetings", [0, 200])
 def test_pair_relations_at_their_thresholds(spark, monkeypatch, meetings):
     monkeypatch.setattr(spatial, "MEETINGS", meetings)

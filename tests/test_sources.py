@@ -145,7 +145,7 @@ def test_npz_round_trip_and_what_earlier_runs_left(spark, tmp_path):
     with pytest.raises(Exception, match="gaps"):
         arrays.write_npz(spark.createDataFrame([("a", 1, 3)], "key string, place long, idx long"), path, "uint8")
     assert sorted(str(p) for p in (tmp_path / "out").iterdir() if p.suffix) == names
-    big = spark.createDataFrame([("u", 0, 0), ("u", 1, (1 << 64) - 1)], "key string, place long, idx decimal(20,0)")
+    big = spark.range(2).select(F.lit("u").alias("key"), F.col("id").alias("place"), F.expr("CASE WHEN id = 0 THEN 0BD ELSE 18446744073709551615BD END").cast("decimal(20,0)").alias("idx"))
     arrays.write_npz(big, str(tmp_path / "big"), "uint64")
     assert [int(r.idx) for r in arrays.read_npz(spark, str(tmp_path / "big"), "decimal(20,0)").orderBy("place").collect()] == [0, (1 << 64) - 1]
 
