@@ -208,6 +208,31 @@ def test_merge_roots_follow_the_order(spark):
     assert got == {10: 10, 11: 10, 12: 10}
 
 
+def test_merge_roots_of_large_groups_go_block_by_block(spark):
+    """A chain, a star, dense groups and small ones, in blocks of few merges and in one: the roots of a plain union-find."""
+    rng = random.Random(5)
+    merges = [(x, x + 1) if rng.random() < 0.5 else (x + 1, x) for x in range(60)] + [(200, 201 + i) if i % 3 else (201 + i, 200) for i in range(40)]
+    merges += [(rng.randrange(400, 420), rng.randrange(400, 420)) for _ in range(60)] + [(500, 501)]
+    merges = [(t, a) for t, a in merges if t != a]
+    order = rng.sample(range(len(merges)), len(merges))
+    rows = [(o, t, a) for o, (t, a) in zip(order, merges, strict=True)]
+    parent = {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, t, a in sorted(rows):
+        t, a = top(t), top(a)
+        if t != a:
+            parent[a] = t
+    want = {x: top(x) for m in merges for x in m}
+    df = spark.createDataFrame(rows, "ord long, target long, absorbed long").repartition(3)
+    for most in (23, 1000):
+        assert {r.id: r.root for r in resolve.merge_roots(df, most).collect()} == want
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components_under_any_order(spark, seed):
     rng = random.Random(seed)
