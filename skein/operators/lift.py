@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import geometry as G
 from skein.operators.components import connected_components
+from skein.sources.scratch import store
 
 
 def pose_rows(pose: Column) -> Column:
@@ -42,14 +44,56 @@ def camera_table(spark, cameras: list[Camera]) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
+#: Points in a cell that are tried together, on average, and the finest grid, in halvings of the whole.
+CELL_POINTS, FINEST = 64, 12
+
+
+def _to_camera(x: Column, y: Column, z: Column) -> list[Column]:
+    """A place in a camera's own axes, by the camera's columns m00 … m23."""
+    return [F.col(f"m{i}0") * x + F.col(f"m{i}1") * y + F.col(f"m{i}2") * z + F.col(f"m{i}3") for i in range(3)]
+
+
+def _may_see(center: list[Column], radius: Column) -> Column:
+    """Whether a ball reaches the camera's view volume: in front of it, and on the inner side of the four planes through the image's edges, rounding of pixels and of the arithmetic included."""
+    x, y, z = _to_camera(*center)
+    # a pose may stretch; its rows' largest length bounds by how much
+    stretch = F.greatest(*[F.sqrt(sum(F.col(f"m{i}{j}") * F.col(f"m{i}{j}") for j in range(3))) for i in range(3)])
+    r = radius * stretch * 1.75 + 1e-6
+    out = z + r > 0
+    for axis, f, c, size in ((x, F.col("fx"), F.col("cx"), F.col("width")), (y, F.col("fy"), F.col("cy"), F.col("height"))):
+        for slope, sign in ((c + 0.51, 1.0), (size - 0.49 - c, -1.0)):
+            out &= axis * f * sign + z * slope >= -(F.abs(f) + F.abs(slope)) * r
+    return out
+
+
 def visible(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """(camera, point, u, v, depth): points in front of a camera and inside its image, pixels rounded half to even.
 
-    Each point is tried with each camera, which is the operator's meaning; the camera table
-    is what one run has, and a run's cameras are dealt out with the points.
+    Points lie in cells of a grid, cells in larger ones up to one that holds all. Cameras go
+    down from there, by equi-joins, into those cells alone that reach into their view, and
+    only the points of the last ones are tried. Points with undefined or infinite coordinates
+    are in no image.
     """
-    both = points.crossJoin(cameras)
-    c = [F.col(f"m{i}0") * F.col("x") + F.col(f"m{i}1") * F.col("y") + F.col(f"m{i}2") * F.col("z") + F.col(f"m{i}3") for i in range(3)]
+    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < float("inf")) for a in G.AXES]
+    points = points.where(finite[0] & finite[1] & finite[2]).select("point", *[F.col(a).cast("double").alias(a) for a in G.AXES])
+    n, *bounds = points.agg(F.count("*"), *[f(a) for a in G.AXES for f in (F.min, F.max)]).first()
+    low = bounds[::2] if n else [0.0] * 3
+    span = max(max((h - m for m, h in zip(low, bounds[1::2], strict=True)), default=0.0) if n else 0.0, 1e-9) * (1 + 1e-9)
+    levels = min(FINEST, max(1, math.ceil(math.log(max(n, 1) / CELL_POINTS + 1, 8)) + 1))
+    finest = [F.least(F.floor((F.col(a) - F.lit(m)) / F.lit(span) * 2**levels), F.lit(2**levels - 1)).cast("bigint").alias(f"g{a}") for a, m in zip(G.AXES, low, strict=True)]
+    placed = points.select("*", *finest)
+    cells = store(placed.select("gx", "gy", "gz").distinct()).df
+    own = cameras.columns
+    seen = cameras.withColumns({f"p{a}": F.lit(0).cast("bigint") for a in G.AXES})
+    for level in range(1, levels + 1):
+        there = cells.select(*[F.shiftright(f"g{a}", levels - level).alias(f"g{a}") for a in G.AXES]).distinct().withColumns({f"p{a}": F.shiftright(f"g{a}", 1) for a in G.AXES})
+        size = span / 2**level
+        middle = [F.lit(m) + (F.col(f"g{a}") + 0.5) * F.lit(size) for a, m in zip(G.AXES, low, strict=True)]
+        met = seen.join(there, [f"p{a}" for a in G.AXES]).where(_may_see(middle, F.lit(size * 3**0.5 / 2)))
+        seen = met.select(*own, *[F.col(f"g{a}").alias(f"p{a}") for a in G.AXES])
+    seen = seen.select(*own, *[F.col(f"p{a}").alias(f"g{a}") for a in G.AXES])
+    both = placed.join(seen, ["gx", "gy", "gz"])
+    c = _to_camera(*[F.col(a) for a in G.AXES])
     both = both.withColumn("depth", c[2]).where(F.col("depth") > 1e-6)
     both = both.withColumn("u", F.rint(F.col("fx") * c[0] / F.col("depth") + F.col("cx"))).withColumn("v", F.rint(F.col("fy") * c[1] / F.col("depth") + F.col("cy")))
     inside = (F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))
@@ -146,8 +190,6 @@ def numbered(observations: DataFrame, *order: str) -> DataFrame:
     Rows are range-partitioned by the order; each takes its place in its partition after the
     sizes of those before, a table of one row a partition.
     """
-    from skein.sources.scratch import store
-
     placed = store(observations.repartitionByRange(*order).withColumn("p", F.spark_partition_id())).df
     sizes = placed.groupBy("p").agg(F.count("*").alias("c"))
     before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))

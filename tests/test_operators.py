@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -275,6 +276,36 @@ def test_two_blobs(spark):
     assert [(r.component, r.place) for r in kept] == [(0, 0)]
 
 
+@pytest.mark.parametrize("points_a_cell", [1, 64])
+def test_cameras_find_all_points_by_cells(spark, monkeypatch, points_a_cell):
+    """What cells lead to is what trying each point with each camera gives; turned cameras, points on image edges, undefined places."""
+    monkeypatch.setattr(lift, "CELL_POINTS", points_a_cell)
+    rng = np.random.default_rng(4)
+    cameras = []
+    for k in range(12):
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        pose = np.eye(4)
+        pose[:3, :3], pose[:3, 3] = turn, rng.uniform(-2, 2, 3)
+        cameras.append(lift.Camera(k, tuple(map(tuple, pose.tolist())), 40.0, 55.0, 20.0, 15.0, 40, 30))
+    cameras.append(lift.Camera(99, tuple(map(tuple, np.eye(4).tolist())), 10.0, 10.0, 4.0, 4.0, 9, 9))
+    xyz = rng.uniform(-3, 3, (700, 3))
+    edges = [(x, y, 1.0) for x in (-0.45, -0.4501, 0.45, 0.4499, 0.0) for y in (-0.45, 0.45, 0.449)]
+    xyz = np.concatenate([xyz, edges])
+    rows = [(i, *map(float, p)) for i, p in enumerate(xyz)] + [(10_000, math.nan, 0.0, 1.0), (10_001, 0.0, math.inf, 1.0), (10_002, None, 0.0, 1.0)]
+    got = {(r.camera, r.point): (r.u, r.v) for r in lift.visible(spark.createDataFrame(rows, "point long, x double, y double, z double"), lift.camera_table(spark, cameras)).collect()}
+    want = {}
+    for c in cameras:
+        m = np.array(c.inverse())
+        for i, (x, y, z) in enumerate(xyz.tolist()):
+            a, b, depth = (m[k, 0] * x + m[k, 1] * y + m[k, 2] * z + m[k, 3] for k in range(3))
+            if depth > 1e-6:
+                u, v = np.rint(c.fx * a / depth + c.cx), np.rint(c.fy * b / depth + c.cy)
+                if 0 <= u < c.width and 0 <= v < c.height:
+                    want[c.camera, i] = (int(u), int(v))
+    assert got == want and len({k for k, _ in want}) > 8
+    assert lift.visible(spark.createDataFrame([], "point long, x double, y double, z double"), lift.camera_table(spark, cameras)).count() == 0
+
+
 def test_lift_and_frame_status(spark):
     rows = [(1, False, True, 9, 9, 1), (2, True, False, 9, 9, 1), (3, True, True, 0, 0, 0), (4, True, True, 100, 29, 1), (5, True, True, 1000, 30, 1), (6, True, True, 100, 30, 0), (7, True, True, 100, 30, 2)]
     df = spark.createDataFrame(rows, "obs long, has_mask boolean, mask_ok boolean, visible long, hits long, components int")
