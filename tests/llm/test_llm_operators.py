@@ -619,6 +619,25 @@ def test_op9_broken_forms(spark):
     assert found >= 0.9 * wanted and extra <= 0.05 * found
 
 
+def test_op9_numbers_that_only_end_alike(spark):
+    """Numbers made to end like a phone number of the text, but longer or with other digits before, aren't taken for it; the number itself is, with such a number between."""
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    wrong = right = 0
+    for i in range(300):
+        area, b, c = digits(3), digits(3), digits(4)
+        other = next(x for x in iter(lambda: digits(1 + i % 2), None) if not area.endswith(x))
+        phone, order = f"+1 ({area}) {b}-{c}", other + b + c
+        base, spans = pii.find(field, [f"call {phone} about order {order} today"])[0]
+        wrong += any(s not in base for s in spans)
+        text = f"call {phone} about order {order} today, that is {area}-{b}-{c}, again"
+        base, spans = pii.find(field, [text])[0]
+        at = text.rindex(area)
+        right += any(s[0] == 3 and s[1] == at for s in spans if s not in base)
+    assert wrong <= 0.05 * 300 and right >= 0.9 * 300
+
+
 def test_transducer():
     rng = random.Random(1)
     words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(2000)})
