@@ -306,7 +306,12 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encode, then decode the ids, as digests."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encode, then decode the ids, as digests.
+
+    A null or empty text has no tokens and the digests of nothing; long texts are encoded
+    whole; repeated rows are returned each; other columns are ignored; an empty table gives
+    no rows.
+    """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     shared = _shared(docs, tokenizer)

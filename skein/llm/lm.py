@@ -372,7 +372,8 @@ def lm_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of docs, learning from training's texts.
 
     base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))) over tokens with exact counts c;
-    score is the model's. A null or empty text is one token, the end. Repeated rows are
+    score is the model's. A null or empty text is one token, the end; long texts are scored
+    whole. Repeated rows are
     scored, and learned from, each. Without training rows all counts are 0. Other columns
     are ignored; an empty docs gives no rows.
     """

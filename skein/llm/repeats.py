@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep_text: bool = True, ho
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row: its bytes without those covered by a repeated string of `size` bytes.
 
     All strings are judged on the input, within and across texts, but none reaches over two
-    texts. kept is the rest, as bytes since characters may be cut, or its SHA-256 without
+    texts, however long these are. kept is the rest, as bytes since characters may be cut, or its SHA-256 without
     keep_text. A null text is empty. Repeated rows repeat each other, so each loses what
     `size` bytes cover. Other columns are ignored; an empty table gives no rows.
     """

@@ -258,7 +258,8 @@ def banded_edges(fps: DataFrame, radius: int, words: int, named: int = 0) -> Dat
 def simhash_components(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp long, component_id) of each row of docs (doc_id, text): exact groups of linked fingerprints.
 
-    Null or blank texts have fingerprint zero and are linked like any other. Equal
+    Null or blank texts have fingerprint zero and are linked like any other, long ones count
+    whole, and a bit of exactly half the shingles is not set. Equal
     fingerprints are one node, so copies cost nothing beyond their own rows. Repeated rows
     are returned as often as they occur; an empty table gives an empty result. component_id
     is the smallest non-null doc_id reachable. Other columns of docs are ignored.

@@ -109,7 +109,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
     many, or all, of the next document's, by ascending doc_id; the first follows the last.
-    Null texts are empty; a null id comes first. Rows of one id are ordered by a hash of
+    Null texts are empty, long ones are fingerprinted whole; a null id comes first. Rows of one id are ordered by a hash of
     their texts; equal rows are returned each, followed by the next different row. A single
     document follows itself. Other columns are ignored; an empty table gives no rows.
 
