@@ -190,3 +190,27 @@ def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = No
                             yield row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
 
     return rows.mapInPandas(run, schema)
+
+
+def segment(rows: DataFrame, model, retries: int = 0, wait: float = 0.0) -> DataFrame:
+    """(image, masks, scores, error) of rows (image, boxes): a mask for each box. An image without boxes has no masks and is never sent to the model."""
+    none = rows.where(F.col("boxes").isNull() | (F.size("boxes") == 0))
+    empty = none.select("image", F.array().cast("array<binary>").alias("masks"), F.array().cast("array<double>").alias("scores"), F.lit(None).cast("string").alias("error"))
+    return apply_model(rows.where(F.size("boxes") > 0), model, MODEL_SCHEMAS["segmenter"], retries=retries, wait=wait).unionByName(empty)
+
+
+def ask_pairs(pairs: DataFrame, model, retries: int = 0, wait: float = 0.0) -> DataFrame:
+    """What a model says of label pairs (label_a, label_b): a row for each different pair, either way round being one, with relation, similarity and error.
+
+    Pairs go out PAIRS_A_CALL at a time; replies are matched by their labels, in whatever
+    order and either way round they come. Of several replies to a pair the one without an
+    error counts, of these the most similar; a pair without a reply has the error `no reply`,
+    and replies to pairs that weren't asked are dropped.
+    """
+    key = lambda: (F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b"))
+    asked = pairs.where("label_a <> label_b").select(*key()).distinct()
+    replies = apply_model(asked, model, MODEL_SCHEMAS["grouper"], batch_rows=PAIRS_A_CALL, retries=retries, wait=wait)
+    replies = replies.select(*key(), F.struct(F.col("error").isNull().alias("fine"), "similarity", "relation", "error").alias("reply"))
+    found = replies.groupBy("label_a", "label_b").agg(F.max("reply").alias("reply"))
+    out = asked.join(found, ["label_a", "label_b"], "left")
+    return out.select("label_a", "label_b", "reply.relation", "reply.similarity", F.when(F.col("reply").isNull(), "no reply").otherwise(F.col("reply.error")).alias("error"))

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,6 +392,27 @@ def test_errors_of_the_model_itself_and_busy_services(spark):
     assert got == {0: ("ok", None), 1: ("ok", None), 2: ("ok", "refused"), 3: ("ok", None)}
 
 
+def test_segments_and_pairs_asked_of_models(spark):
+    def segmenter(batch):
+        assert (batch["boxes"].map(len) > 0).all()
+        return batch.assign(masks=batch["boxes"].map(lambda b: [bytes([len(x)]) for x in b]), scores=batch["boxes"].map(lambda b: [0.5] * len(b)))[["image", "masks", "scores"]]
+
+    rows = spark.createDataFrame([("a", [[0.0, 1.0]]), ("b", []), ("c", None)], "image string, boxes array<array<double>>")
+    got = {r.image: (r.masks, r.scores, r.error) for r in tags.segment(rows, segmenter).collect()}
+    assert got == {"a": ([bytearray([2])], [0.5], None), "b": ([], [], None), "c": ([], [], None)}
+
+    def grouper(batch):
+        assert len(batch) <= tags.PAIRS_A_CALL
+        turned = batch[batch["label_a"] != "p000"].iloc[::-1].rename(columns={"label_a": "label_b", "label_b": "label_a"})  # one is forgotten, all come back the other way round
+        turned = turned.assign(relation="same", similarity=0.9, error=["refused" if b == "p001" else None for b in turned["label_b"]])
+        extra = turned.iloc[:1].assign(label_a="never", label_b="asked", error=None)
+        return pd.concat([turned, turned.iloc[:1].assign(similarity=0.1), extra])[["label_a", "label_b", "relation", "similarity", "error"]]
+
+    pairs = [(f"p{i:03d}", "z") for i in range(200)] + [("z", "p007"), ("z", "z")]
+    got = {(r.label_a, r.label_b): (r.relation, r.similarity, r.error) for r in tags.ask_pairs(spark.createDataFrame(pairs, "label_a string, label_b string"), grouper).collect()}
+    assert got == {(f"p{i:03d}", "z"): (None, None, "no reply") if i == 0 else ("same", 0.9, "refused" if i == 1 else None) for i in range(200)}
+
+
 def test_model_calls_are_batched_and_tried_again(spark):
     def detector(batch, tried=[]):  # noqa: B006  a worker's own memory of what it has failed once
         assert len(batch) <= 2
