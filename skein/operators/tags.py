@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import labels as L
+from skein.operators import lexical
+from skein.sources.scratch import store
 from skein.sources.ship import ship
 
 # What the rule classifier knows, by category.
@@ -101,43 +103,29 @@ def pairs_of_groups(members: DataFrame) -> DataFrame:
 
 
 def lexical_edges(labels: DataFrame) -> DataFrame:
-    """(label_a, label_b): labels with a word in common or one inside the other, met through words and through their parts.
+    """(label_a, label_b): labels with a word in common or one inside the other, each pair once.
 
-    A label inside another is found by the other's substrings of word length, so that only
-    labels that do relate are joined.
+    The result itself grows with the square of a common word's labels; lexical.classes says
+    the same without pairs, and lexical.lexical_groups needs none.
     """
-    words = labels.select("label", F.explode(F.array_distinct(F.split("label", " "))).alias("w"))
-    by_word = words.select(F.col("label").alias("label_a"), "w").join(words.select(F.col("label").alias("label_b"), "w"), "w").where("label_a < label_b").select("label_a", "label_b")
-    n = F.length("label")
-    parts = labels.select(F.col("label").alias("whole"), F.explode(F.sequence(F.lit(1), n)).alias("i")).select("whole", "i", F.explode(F.sequence(F.lit(1), F.length("whole") - F.col("i") + 1)).alias("k"))
-    parts = parts.select("whole", F.substring("whole", F.col("i"), F.col("k")).alias("label")).distinct()
-    inside = parts.join(labels, "label").where("label <> whole").select(F.least("label", "whole").alias("label_a"), F.greatest("label", "whole").alias("label_b"))
-    return by_word.unionByName(inside).distinct()
+    words = lexical.words_of(labels.select("label").distinct())
+    by_word = words.select(F.col("label").alias("label_a"), "item").join(words.select(F.col("label").alias("label_b"), "item"), "item").where("label_a < label_b").select("label_a", "label_b")
+    by_part = lexical.inside(labels).select(F.least("inside", "whole").alias("label_a"), F.greatest("inside", "whole").alias("label_b"))
+    return by_word.unionByName(by_part).distinct()
 
 
-def greedy_groups(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def greedy_groups(edges: DataFrame, labels: DataFrame, followed: int = lexical.FOLLOWED) -> DataFrame:
     """(scope, group_id, label): labels of each scope taken in order; one not yet in a group starts one with all later labels it relates to.
 
-    Whether a label starts a group depends on all before it, so each scope's labels, a
-    scene's vocabulary, are followed in one task; scopes are dealt out. A later label may be
-    in several groups. labels (scope, label), edges (label_a, label_b).
+    For relations of any kind: labels (scope, label), edges (label_a, label_b) with label_a
+    < label_b. A later label may be in several groups. A scope of at most `followed` rows is
+    one task's, larger ones are settled by rounds.
     """
-    ship(edges.sparkSession)
-    after = edges.select(F.col("label_a").alias("label"), F.col("label_b").alias("other"))
-    both = labels.join(after, "label", "left").join(labels.select("scope", F.col("label").alias("other")).withColumn("there", F.lit(True)), ["scope", "other"], "left")
-    rows = both.groupBy("scope", "label").agg(F.array_sort(F.collect_set(F.when(F.col("there"), F.col("other")))).alias("later"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for row in pdf.sort_values("label").itertuples():
-            if row.label not in used and len(row.later):
-                own = [row.label, *row.later]
-                used.update(own)
-                number = len({g for g, _ in out})
-                out += [(f"group_{number:03d}", x) for x in sorted(own)]
-        return pd.DataFrame({"scope": [pdf["scope"].iloc[0]] * len(out), "group_id": [g for g, _ in out], "label": [x for _, x in out]})
-
-    return rows.groupBy("scope").applyInPandas(fold, "scope string, group_id string, label string")
+    own = labels.select("scope", "label").distinct()
+    links = edges.select(F.col("label_a").alias("earlier"), F.col("label_b").alias("later")).join(own.withColumnRenamed("label", "earlier"), "earlier")
+    links = store(links.join(own.withColumnRenamed("label", "later"), ["scope", "later"]).select("scope", "earlier", F.col("later").alias("label"))).df
+    chosen = lexical.first_choice(own.limit(0).withColumn("item", F.lit(None).cast("string")), links, followed)
+    return lexical.groups_of(chosen, links.withColumnRenamed("earlier", "first"))
 
 
 # What a call of each kind of outside model returns for a row.

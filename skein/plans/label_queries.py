@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import labels as L
+from skein.operators import lexical
 from skein.operators import tags as T
 from skein.plans import proxies as P
 
@@ -139,10 +140,24 @@ SQL["j18_lexical_edges"] = """WITH l AS (SELECT DISTINCT p_name AS label FROM pa
 SELECT a.label AS label_a, b.label AS label_b FROM l a JOIN l b ON a.label < b.label AND (contains(a.label,b.label) OR contains(b.label,a.label) OR list_has_any(string_split(a.label,' '), string_split(b.label,' ')))"""
 
 
+def j18_lexical_classes(spark, sf_dir: str) -> DataFrame:
+    """Which names, types, brands and beginnings of types of parts share words or lie inside one another, without their pairs."""
+    p = P.read(spark, sf_dir, "part")
+    more = p.select(F.explode(F.array(*[F.lower(x) for x in ("p_name", "p_type", "p_brand", F.substring("p_type", 1, 3))])).alias("label"))
+    return lexical.classes(more)
+
+
+QUERIES["j18_lexical_classes"] = j18_lexical_classes
+SQL["j18_lexical_classes"] = """WITH l AS (SELECT DISTINCT lower(unnest([p_name, p_type, p_brand, p_type[1:3]])) AS label FROM part WHERE p_name IS NOT NULL),
+w AS (SELECT label, unnest(list_distinct(string_split(label,' '))) AS item FROM l), n AS (SELECT item, min(label) AS first_label, count(*)::BIGINT AS n_labels FROM w GROUP BY item HAVING count(*) > 1)
+SELECT 'word' AS kind, item, label, first_label, n_labels FROM w JOIN n USING (item)
+UNION ALL SELECT 'inside', a.label, b.label, least(a.label,b.label), 2::BIGINT FROM l a JOIN l b ON a.label <> b.label AND contains(b.label,a.label) AND NOT list_has_any(string_split(a.label,' '), string_split(b.label,' '))"""
+
+
 def g03_greedy_groups(spark, sf_dir: str) -> DataFrame:
     """Greedy label groups of each brand's vocabulary."""
     labels = P.read(spark, sf_dir, "part").select(F.col("p_brand").alias("scope"), F.col("p_name").alias("label")).distinct()
-    return T.greedy_groups(T.lexical_edges(labels.select("label").distinct()), labels)
+    return lexical.lexical_groups(labels)
 
 
 QUERIES["g03_greedy_groups"] = g03_greedy_groups
