@@ -13,6 +13,7 @@ from skein.operators import scene as E
 from skein.plans import pair_queries
 from skein.plans import proxies as P
 from skein.sources.scratch import scratch_root
+from skein.streaming import claims as C
 from skein.streaming import tasks as T
 
 QUERIES: dict = {}
@@ -112,6 +113,42 @@ QUERIES["t02_claim"] = t02_claim
 SQL["t02_claim"] = _T02_SQL + " SELECT * FROM nw"
 
 
+def _claim_log(spark, sf_dir: str) -> DataFrame:
+    """Claims made from orders: each order is a task, the first four lines ask for its first attempt and try to end it, the others for a later one."""
+    o, li = P.read(spark, sf_dir, "orders"), P.read(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("boolean")
+    n = F.col("l_linenumber")
+    later = F.when(n <= 4, 1).otherwise(2)
+    worker = F.concat(F.lit("w"), F.col("l_suppkey") % 5)
+    asked = F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + (later - 1) * 40000000000000)
+    opened = o.select(F.col("o_orderkey").alias("task"), F.lit(1).alias("attempt"), F.lit("enqueue").alias("kind"), F.lit(None).cast("string").alias("worker"), F.col("o_orderdate").cast("timestamp").alias("ts"), none.alias("ok"))
+    claims = li.select(F.col("l_orderkey").alias("task"), later.alias("attempt"), F.lit("claim").alias("kind"), worker.alias("worker"), asked.alias("ts"), none.alias("ok"))
+    ended = li.where(n % 2 == 1).select(F.col("l_orderkey").alias("task"), later.alias("attempt"), F.lit("finish").alias("kind"), worker.alias("worker"), F.timestamp_micros(F.unix_micros(asked) + (F.col("l_quantity") * 86400000000).cast("bigint")).alias("ts"), (F.col("l_returnflag") != "R").alias("ok"))
+    return opened.unionByName(claims).unionByName(ended)
+
+
+def t02_claim_log(spark, sf_dir: str) -> DataFrame:
+    """How each task stands once the log has said who won its attempts, with a lease of 20 days."""
+    return C.states(_claim_log(spark, sf_dir), F.lit("1998-06-01").cast("timestamp"), 20 * 86400.0)
+
+
+QUERIES["t02_claim_log"] = t02_claim_log
+SQL["t02_claim_log"] = """WITH li AS (SELECT l_orderkey AS task, CASE WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS attempt, 'w' || (l_suppkey % 5) AS worker,
+ l_shipdate::TIMESTAMP + to_seconds(CASE WHEN l_linenumber <= 4 THEN 0 ELSE 40000000 END) AS ts, l_linenumber % 2 = 1 AS ends, l_quantity AS q, l_returnflag <> 'R' AS ok FROM lineitem),
+cl AS (SELECT * FROM li WHERE ts <= TIMESTAMP '1998-06-01'),
+en AS (SELECT task, attempt, worker, ts + to_seconds((q * 86400)::BIGINT) AS ts, ok FROM li WHERE ends),
+wn AS (SELECT task, attempt, worker, ts FROM cl QUALIFY row_number() OVER (PARTITION BY task, attempt ORDER BY ts, worker) = 1),
+re AS (SELECT w.task, w.attempt, e.ok FROM wn w JOIN en e ON e.task = w.task AND e.attempt = w.attempt AND e.worker = w.worker AND e.ts BETWEEN w.ts AND w.ts + INTERVAL 20 DAY AND e.ts <= TIMESTAMP '1998-06-01'
+ QUALIFY row_number() OVER (PARTITION BY w.task, w.attempt ORDER BY e.ts, e.ok) = 1),
+a AS (SELECT w.*, r.ok FROM wn w LEFT JOIN re r USING (task, attempt)),
+g AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY coalesce(ok, false) DESC, CASE WHEN ok THEN attempt ELSE -attempt END) AS k FROM a),
+t AS (SELECT DISTINCT task FROM (SELECT o_orderkey AS task FROM orders WHERE o_orderdate <= DATE '1998-06-01' UNION ALL SELECT task FROM cl))
+SELECT task, CASE WHEN g.task IS NULL THEN 1 WHEN ok IS NULL AND ts + INTERVAL 20 DAY < TIMESTAMP '1998-06-01' THEN attempt + 1 ELSE attempt END::INTEGER AS attempt,
+ CASE WHEN ok THEN 'done' WHEN g.task IS NULL THEN 'pending' WHEN NOT ok THEN 'failed' WHEN ts + INTERVAL 20 DAY < TIMESTAMP '1998-06-01' THEN 'pending' ELSE 'processing' END AS state,
+ CASE WHEN ok IS NOT NULL OR ts + INTERVAL 20 DAY >= TIMESTAMP '1998-06-01' THEN worker END AS worker
+FROM t LEFT JOIN (SELECT * FROM g WHERE k = 1) g USING (task)"""
+
+
 def t04_retry(spark, sf_dir: str) -> DataFrame:
     """Events that retry failed tasks, 300 at most, and all processing ones."""
     now, at = _now(spark, sf_dir), F.lit("2030-01-02").cast("timestamp")
