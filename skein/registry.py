@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import audit_queries, label_queries, lift_queries, pair_queries, queue_queries, resolve_queries
+from skein.plans import audit_queries, label_queries, lift_queries, model_queries, pair_queries, queue_queries, resolve_queries
 
-_MODULES = (pair_queries, label_queries, audit_queries, resolve_queries, lift_queries, queue_queries)
+_MODULES = (pair_queries, label_queries, audit_queries, resolve_queries, lift_queries, queue_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
