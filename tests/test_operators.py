@@ -452,3 +452,18 @@ def test_mask_area_and_depth(spark):
     assert {r.f: (r.pixels, r.ratio) for r in lift.mask_areas(m, 4, 4, "f").collect()} == {1: (2, 0.125), 2: (1, 0.0625)}
     d = spark.createDataFrame([(0, 0, 0, 1500, 1000.0), (0, 1, 0, 0, 1000.0)], "camera int, u int, v int, raw int, depth_scale double")
     assert [r.measured for r in lift.depth_meters(d).collect()] == [1.5]
+
+
+def test_nearest_begins_where_points_are_dense(spark):
+    """Most points in a tiny cluster, a few far away: the first reach fits the cluster, and all find their neighbours."""
+    from skein.operators import spatial
+
+    rnd = random.Random(5)
+    rows = [(i, *[0.5 + rnd.random() * 1e-3 for _ in range(3)]) for i in range(300)] + [(300 + i, float(i), 0.0, 0.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    low = {"x": 0.0, "y": 0.0, "z": 0.0}
+    assert 7 / 2**16 <= spatial._near_reach(df, low, 7.0, 2) < 1e-3
+    got = {(r.id, r["rank"]): r.other for r in spatial.nearest(df, 2, 10.0).collect()}
+    for i, *p in rows:
+        want = sorted((math.dist(p, q), j) for j, *q in rows if j != i)[:2]
+        assert [got[i, 1], got[i, 2]] == [j for _, j in want]
