@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.scratch import Stored, store
+from skein.sources.ship import ship
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,7 +21,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     it was; their number grows with the logarithm of the longest path. Loops and repeated
     edges don't matter; an empty table gives an empty result.
     """
-    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if all(t == "bigint" for _, t in edges.dtypes):
+        ship(edges.sparkSession)
+        edges = edges.mapInPandas(_forest, "a bigint, b bigint")
+    now = store(edges.distinct())
     before = None
     for _ in range(rounds):
         mark = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -31,6 +39,38 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+#: Edges that a task looks at together.
+TOGETHER = 1_000_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of some of a task's edges at a time those that connect what was apart: the same components, in fewer edges than these have nodes."""
+    have, n = [], 0
+    for pdf in batches:
+        have.append(pdf)
+        n += len(pdf)
+        if n >= TOGETHER:
+            yield spanning(pd.concat(have), "a", "b")
+            have, n = [], 0
+    if have:
+        yield spanning(pd.concat(have), "a", "b")
+
+
+def spanning(edges: pd.DataFrame, one: str, other: str) -> pd.DataFrame:
+    """The edges that connect what those before them leave apart."""
+    parent: dict[int, int] = {}
+    keep = []
+    for n, (a, b) in enumerate(zip(edges[one].tolist(), edges[other].tolist(), strict=True)):
+        while (p := parent.setdefault(a, a)) != a:
+            parent[a] = a = parent[p]
+        while (p := parent.setdefault(b, b)) != b:
+            parent[b] = b = parent[p]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(n)
+    return edges.iloc[keep]
+
+
 def _replace(old: Stored, df: DataFrame) -> Stored:
     new = store(df)
     old.drop()

@@ -147,6 +147,38 @@ def test_pair_relations_at_their_thresholds(spark, monkeypatch, meetings):
     assert [(r.b, r.relation, r.point_containment) for r in found] == [(6, "possible_duplicate_same_label", 0.35)]
 
 
+@pytest.mark.parametrize("block", [64, 2048])
+def test_box_evidence_equals_the_pairs_of_members(spark, block):
+    """Blocks of any size, boxes without points, points on edges, equal boxes: the rows that members give, and no exchange of pairs."""
+    rng = random.Random(11)
+    rows = [box(i, rng.choice([0.0, 0.5, rng.uniform(0, 3)]), rng.choice([0.5, 1.0, rng.uniform(0, 1.5)]), rng.choice("abc")) for i in range(150)] + [box(200, 90.0, 1.0), box(201, 90.0, 1.0)]
+    df = boxes(spark, *rows)
+    points = spark.createDataFrame([(i, rng.choice([0.0, 0.25, 0.5, rng.uniform(0, 3)]), rng.choice([0.0, rng.uniform(-0.5, 0.5)]), 0.0) for i in range(400)] + [(500, None, 0.0, 0.0)], "point long, x double, y double, z double")
+    members = spatial.points_in_boxes(points, df, 0.5).select("id", F.col("point").alias("item"))
+    names = ["a", "b", "alabel", "blabel", "bseen", "shared", "point_containment", "point_iou", "box_iou", "box_containment", "size_ratio", "distance"]
+    want = {tuple(r) for r in pairs.pair_evidence(df, members, 0.5).select(*names).collect()}
+    found = pairs.box_evidence(df, points, block=block).select(*names)
+    got = found.collect()
+    assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
+    assert (200, 201) in {(r.a, r.b) for r in got if r.shared is None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroups") < plan.index("Exchange")
+
+
+def test_merges_that_join_nothing_are_dropped_in_tasks(spark):
+    """A crowd of objects that all merge with one another: each task hands on a forest of its merges, and the roots stay."""
+    rng = random.Random(3)
+    rows = [(f"{n:06d}", *rng.sample(range(60), 2)) for n in range(3000)]
+    df = spark.createDataFrame(rows, "ord string, target long, absorbed long").repartition(3)
+    assert df.mapInPandas(resolve._joining, df.schema).count() <= 3 * 59
+    parent = list(range(60))
+    top = lambda x: x if parent[x] == x else top(parent[x])
+    for _, t, a in rows:
+        if top(a) != top(t):
+            parent[top(a)] = top(t)
+    assert {r.id: r.root for r in resolve.merge_roots(df).collect()} == {i: top(i) for i in range(60)}
+
+
 @given(st.lists(st.floats(-5, 5), min_size=12, max_size=12))
 @settings(max_examples=20, deadline=None)
 def test_box_measures(spark, x):
