@@ -165,6 +165,15 @@ def test_box_evidence_equals_the_pairs_of_members(spark, block):
     assert plan.index("FlatMapGroups") < plan.index("Exchange")
 
 
+def test_scene_pairs_are_not_shuffled(spark):
+    """A pair that overlaps, is near and is nearest comes once, from the cells, with nothing dealt out after them."""
+    df = boxes(spark, box(1, 0.0, 1.0), box(2, 0.4, 1.0), box(3, 2.0, 0.1), box(4, 2.3, 0.1), box(5, 9.0, 1.0))
+    found = pairs.scene_relations(df, pairs.SceneRules(near=0.5, neighbours=1))
+    assert sorted((r.a, r.b, r.iou > 0, r.distance <= 0.5) for r in found.collect()) == [(1, 2, True, True), (3, 4, False, True), (4, 5, False, False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Union") < plan.index("Join") < plan.index("Exchange")
+
+
 def test_merges_that_join_nothing_are_dropped_in_tasks(spark):
     """A crowd of objects that all merge with one another: each task hands on a forest of its merges, and the roots stay."""
     rng = random.Random(3)
