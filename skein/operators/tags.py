@@ -140,43 +140,65 @@ MODEL_SCHEMAS = {
 PAIRS_A_CALL = 80
 
 
+#: Rows of replies that are handed on together: small calls would make a table of a few rows each.
+HANDED = 256
+
+
 def apply_model(rows: DataFrame, model, schema: str, batch_rows: int | None = None, retries: int = 0, wait: float = 0.0) -> DataFrame:
     """The boundary to outside models: `model` maps pandas batches of at most batch_rows rows to rows of schema, such as one of MODEL_SCHEMAS.
 
     A call that fails is tried `retries` times more, after `wait` seconds and then twice as
-    long each time. A batch that fails for good comes back row by row, each row tried as
-    often, each failure in `error`. An error that the model itself gives for a row is kept.
+    long each time. A batch that fails for good is halved, and its halves are tried as often,
+    until what fails is one row, with the failure in `error`. An error that the model itself
+    gives for a row is kept. With batch_rows, rows are dealt over all tasks, as few bytes may be many calls.
     """
 
     ship(rows.sparkSession)
     names = [part.split()[0] for part in re.split(r",(?![^<]*>)", schema)]
 
-    def call(batch: pd.DataFrame, tries: int) -> pd.DataFrame:
-        for n in range(tries + 1):
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        for n in range(retries + 1):
             try:
-                made = model(batch)
-                own = made["error"].astype(object) if "error" in made else pd.Series(None, index=made.index, dtype=object)
-                return made.assign(error=own.where(own.notna(), None))
+                return model(batch)
             except Exception:  # noqa: BLE001  whatever an outside model raises
-                if n == tries:
+                if n == retries:
                     raise
                 time.sleep(wait * 2**n)
         raise AssertionError
 
+    def replies(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            made = call(some)
+        except Exception as e:  # noqa: BLE001  one bad row must not end the job: its neighbours are tried without it
+            if len(some) > 1:
+                yield from replies(some.iloc[: len(some) // 2])
+                yield from replies(some.iloc[len(some) // 2 :])
+                return
+            row = some.assign(error=f"{type(e).__name__}: {e}")
+            made = row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+        yield made
+
+    def joined(made: list[pd.DataFrame]) -> pd.DataFrame:
+        out = made[0] if len(made) == 1 else pd.concat(made, ignore_index=True)
+        own = out["error"].astype(object) if "error" in out else pd.Series(None, index=out.index, dtype=object)
+        return out.assign(error=own.where(own.notna(), None))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, n = [], 0
         for batch in batches:
             for at in range(0, len(batch), batch_rows or max(1, len(batch))):
-                some = batch.iloc[at : at + (batch_rows or len(batch))]
-                try:
-                    yield call(some, retries)
-                except Exception:  # noqa: BLE001  one bad row must not end the job: its neighbours are tried alone
-                    for i in range(len(some)):
-                        try:
-                            yield call(some.iloc[i : i + 1], retries)
-                        except Exception as e:  # noqa: BLE001
-                            row = some.iloc[i : i + 1].assign(error=f"{type(e).__name__}: {e}")
-                            yield row.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
-
+                for reply in replies(batch.iloc[at : at + (batch_rows or len(batch))]):
+                    if len(reply):
+                        made.append(reply)
+                        n += len(reply)
+                    if n >= HANDED:
+                        yield joined(made)
+                        made, n = [], 0
+        if made:
+            yield joined(made)
+
+    if batch_rows:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapInPandas(run, schema)
 
 

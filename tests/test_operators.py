@@ -421,6 +421,20 @@ def test_model_boundary_isolates_rows(spark):
     assert got[3] == (None, "RuntimeError: bad row") and all(got[k] == ("ok", None) for k in (0, 1, 2, 4, 5))
 
 
+def test_one_bad_row_leaves_its_neighbours_large_calls_in_many_tasks(spark):
+    def model(batch):
+        if (batch["k"] == 700).any():
+            raise RuntimeError("bad row")
+        return batch.assign(n=len(batch))
+
+    df = spark.range(1000).coalesce(1).withColumnRenamed("id", "k")
+    got = {r.k: (r.n, r.error) for r in tags.apply_model(df, model, "k bigint, n bigint, error string").collect()}
+    assert len(got) == 1000 and got[700] == (None, "RuntimeError: bad row")
+    assert sum(1 / n for k, (n, _) in got.items() if k != 700) < 30  # calls that went well
+    few = tags.apply_model(df, lambda batch: batch.assign(n=len(batch)), "k bigint, n bigint, error string", batch_rows=16)
+    assert few.select(F.spark_partition_id()).distinct().count() > 1 and {r.n for r in few.collect()} <= set(range(1, 17))
+
+
 def test_errors_of_the_model_itself_and_busy_services(spark):
     def model(batch, calls=[]):  # noqa: B006  a worker's own count of its calls
         calls.append(len(batch))
