@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry as G
+from skein.operators.boxpairs import from_inner_points
 from skein.operators.quantiles import quantiles_by_key, wide
 from skein.sources.scratch import store
 from skein.sources.ship import ship
@@ -156,3 +158,39 @@ def oriented_boxes(members: DataFrame, points: DataFrame, low: float = 0.02, hig
     both = framed.select("id", "n", "sx", "sy", "sz").join(found, "id", "left")
     e = F.sort_array(F.when(F.col("n") >= least, F.array("w0", "w1", "w2")).otherwise(F.array("sx", "sy", "sz")), asc=False)
     return both.select("id", "n", *[e[i].alias(f"e{i}") for i in range(3)])
+
+
+def _between_sorted(x: np.ndarray, q: float) -> float:
+    """The quantile of sorted values between neighbours, as quantiles_by_key has it."""
+    t = q * (len(x) - 1)
+    low, high = x[int(np.floor(t))], x[int(np.ceil(t))]
+    return float(low + (high - low) * (t - np.floor(t)))
+
+
+def inner_percentile_boxes(objects: DataFrame, points: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """percentile_boxes of the points (x, y, z) inside each box of objects, without a row for each of them."""
+    edges = [f"{a}{k}" for a in G.AXES for k in (0, 1)]
+
+    def told(p: list[np.ndarray]) -> tuple:
+        ends = [_between_sorted(s, q) for s in map(np.sort, p) for q in (low, high)]
+        inside = np.logical_and.reduce([(x >= a) & (x <= b) for x, a, b in zip(p, ends[::2], ends[1::2], strict=True)])
+        n = int(inside.sum())
+        return len(p[0]), *ends, *[float((x[inside] if n else x).mean()) for x in p], n
+
+    found = from_inner_points(objects, points, told, "n bigint, " + ", ".join(f"{c} double" for c in (*edges, "cx", "cy", "cz")) + ", inside bigint")
+    return found.withColumn("volume", G.volume(""))
+
+
+def inner_oriented_boxes(objects: DataFrame, points: DataFrame, low: float = 0.02, high: float = 0.98, least: int = 8) -> DataFrame:
+    """oriented_boxes of the points (x, y, z) inside each box of objects, without a row for each of them."""
+
+    def told(p: list[np.ndarray]) -> tuple:
+        if len(p[0]) < least:
+            sides = [float(x.max() - x.min()) for x in p]
+        else:
+            v = np.linalg.eigh(np.cov(np.stack(p)))[1]
+            along = [np.sort(p[0] * v[0, j] + p[1] * v[1, j] + p[2] * v[2, j]) for j in range(3)]
+            sides = [_between_sorted(x, high) - _between_sorted(x, low) for x in along]
+        return len(p[0]), *sorted(sides, reverse=True)
+
+    return from_inner_points(objects, points, told, "n bigint, e0 double, e1 double, e2 double")

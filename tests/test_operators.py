@@ -522,3 +522,22 @@ def test_nearest_begins_where_points_are_dense(spark):
     for i, *p in rows:
         want = sorted((math.dist(p, q), j) for j, *q in rows if j != i)[:2]
         assert [got[i, 1], got[i, 2]] == [j for _, j in want]
+
+
+def test_box_figures_without_rows_of_points(spark, monkeypatch):
+    from skein.plans import audit_queries
+
+    rng = np.random.default_rng(5)
+    spots = [(i, *map(float, rng.normal(size=3).round(2))) for i in range(300)]
+    made = [(i, *[x for c, h in zip(rng.normal(size=3), rng.uniform(0, 1.5, 3), strict=True) for x in (float(c - h), float(c + h))]) for i in range(150)]
+    points = spark.createDataFrame(spots, "point long, x double, y double, z double")
+    own = spark.createDataFrame(made, "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    members = spatial.points_in_boxes(points, own, 0.5)
+    for plain, inner in ((audit.percentile_boxes, audit.inner_percentile_boxes), (audit.oriented_boxes, audit.inner_oriented_boxes)):
+        want = plain(members, points)
+        got = {r.id: tuple(r) for r in inner(own, points).select(*want.columns).collect()}
+        want = {r.id: tuple(r) for r in want.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    monkeypatch.setattr(spatial, "points_in_boxes", lambda *_: pytest.fail("a row for each point in a box"))
+    for name in ("a11_percentile_box", "a23_oriented_box"):
+        assert audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
