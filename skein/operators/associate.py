@@ -139,8 +139,8 @@ class Scene:
         self.weights = np.array(list(rules.weights.values()))
         self.holders: dict[int, list[int]] = {}
         self.names: dict[str, int] = {}
-        self.alike: dict[str, np.ndarray] = {}
-        self.shape = np.zeros((16, 14))  # low, high, centre, diagonal, volume, last frame, label, number of points
+        self.alike: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.shape = np.zeros((14, 16))  # low, high, centre, diagonal, volume, last frame, label, number of points; a column an object
         self.cells: dict[tuple[int, ...], int] = {}
         self.members: list[list[int]] = []
         self.cell_of: dict[int, int] = {}
@@ -152,8 +152,8 @@ class Scene:
         """Put an object at the end; states of a stream are restored this way."""
         self.objects.append(made)
         i = len(self.objects) - 1
-        if i == len(self.shape):
-            self.shape = np.concatenate([self.shape, np.zeros_like(self.shape)])
+        if i == self.shape.shape[1]:
+            self.shape = np.concatenate([self.shape, np.zeros_like(self.shape)], axis=1)
         self._index(i, made.points)
         return i
 
@@ -163,7 +163,7 @@ class Scene:
             self.holders.setdefault(p, []).append(i)
         name = self.names.setdefault(o.label, len(self.names))
         volume = math.prod(max(0.0, b - a) for a, b in zip(o.low, o.high, strict=True))
-        self.shape[i] = [*o.low, *o.high, *o.center, math.dist(o.size, (0, 0, 0)), volume, o.last, name, len(o.points)]
+        self.shape[:, i] = [*o.low, *o.high, *o.center, math.dist(o.size, (0, 0, 0)), volume, o.last, name, len(o.points)]
         if self.cells:
             self._into_cell(i)
         elif len(self.objects) > self.few:
@@ -176,7 +176,7 @@ class Scene:
 
     def _into_cell(self, i: int) -> None:
         """Add an object to the cell of its label and centre; that which it leaves keeps its bounds, which hold for fewer as well."""
-        row = self.shape[i]
+        row = self.shape[:, i]
         key = (*np.floor(row[6:9] / self.width).astype(int).tolist(), int(row[12]))
         k = self.cells.get(key)
         if k is None:
@@ -198,11 +198,12 @@ class Scene:
         b[3:6], b[9:12] = np.maximum(b[3:6], row[3:6]), np.maximum(b[9:12], row[6:9])
         b[12:14] = max(b[12], row[9]), max(b[13], row[11])
 
-    def _similarities(self, label: str) -> np.ndarray:
-        """The label's similarity to each label met, by number."""
+    def _similarities(self, label: str) -> tuple[np.ndarray, np.ndarray]:
+        """The label's similarity to each label met, by number, and what caps the score there."""
         known = self.alike.get(label)
-        if known is None or len(known) < len(self.names):
-            known = self.alike[label] = np.array([_similar(label, x, self.rules.known) for x in self.names])
+        if known is None or len(known[0]) < len(self.names):
+            alike = np.array([_similar(label, x, self.rules.known) for x in self.names])
+            known = self.alike[label] = alike, np.where(alike < self.rules.least_semantic, self.rules.least_semantic - 1e-6, np.inf)
         return known
 
     def _terms(self, iou: np.ndarray, common, alike: np.ndarray, away: np.ndarray, diag: np.ndarray, last: np.ndarray, row, own: float) -> np.ndarray:
@@ -214,23 +215,39 @@ class Scene:
         score = w[0] * iou + w[1] * common + w[2] * alike + w[3] * np.exp(-away / scale) + w[4] * near
         return np.where(alike < rules.least_semantic, np.minimum(score, rules.least_semantic - 1e-6), score)
 
-    def _scores(self, which, row, low, high, center, own, volume, shared: np.ndarray, n_points: int) -> np.ndarray:
-        """The scores of the objects `which`, up to rounding in the last bits."""
-        s = self.shape[which]
-        self.tried += len(s)
-        both = np.maximum(np.minimum(s[:, 3:6], high) - np.maximum(s[:, :3], low), 0.0).prod(axis=1)
-        joint = s[:, 10] + volume - both
-        iou = np.divide(both, joint, out=np.zeros(len(s)), where=(both > 0) & (joint > 0))
-        common = shared / np.maximum(np.minimum(s[:, 13], n_points), 1)
-        away = np.sqrt(((s[:, 6:9] - center) ** 2).sum(axis=1))
-        return self._terms(iou, common, self._similarities(row.label)[s[:, 12].astype(int)], away, s[:, 9], s[:, 11], row, own)
+    def _scores(self, which, row, low, high, center, own, volume, met: dict[int, int], n_points: int) -> np.ndarray:
+        """The scores of the objects `which`, up to rounding in the last bits; met are those of them that share points, by their places among them. Objects are few, so what counts is the number of calls."""
+        s, rules, w = self.shape[:, which], self.rules, self.weights
+        self.tried += s.shape[1]
+        side = np.minimum(s[3:6], high[:, None])
+        side -= np.maximum(s[:3], low[:, None])
+        np.maximum(side, 0.0, out=side)
+        both = side[0] * side[1] * side[2]
+        joint = s[10] + volume - both
+        away = s[6:9] - center[:, None]
+        away *= away
+        fall = np.empty((2, s.shape[1]))
+        np.divide(np.sqrt(away[0] + away[1] + away[2]), np.minimum((s[9] + own) * -0.5, -rules.least_scale), out=fall[0])
+        gap = np.maximum(row.frame - s[11], 0.0)
+        np.divide(gap, -(rules.window if rules.window > 0 else 1.0), out=fall[1])
+        np.exp(fall, out=fall)
+        near = fall[1] if rules.window > 0 else gap == 0
+        alike, cap = self._similarities(row.label)
+        names = s[12].astype(np.intp)
+        score = w[2] * alike[names]
+        score += w[3] * fall[0]
+        score += w[4] * near
+        score += w[0] * np.divide(both, joint, out=np.zeros(len(both)), where=(both > 0) & (joint > 0))
+        for i, shared in met.items():
+            score[i] += w[1] * shared / max(min(s[13, i], n_points), 1)
+        return np.minimum(score, cap[names])
 
     def _limits(self, row, low, high, center, own) -> np.ndarray:
         """For each cell, the most that an object there can score without a shared point."""
         b = self.bounds[: len(self.members)]
         iou = (np.minimum(b[:, 3:6], high) > np.maximum(b[:, :3], low)).all(axis=1).astype(float)
         away = np.sqrt((np.maximum(np.maximum(b[:, 6:9] - center, center - b[:, 9:12]), 0.0) ** 2).sum(axis=1))
-        return self._terms(iou, 0.0, self._similarities(row.label)[b[:, 14].astype(int)], away, b[:, 12], b[:, 13], row, own)
+        return self._terms(iou, 0.0, self._similarities(row.label)[0][b[:, 14].astype(int)], away, b[:, 12], b[:, 13], row, own)
 
     def _near_best(self, row, center: list[float], size: list[float]) -> list[int]:
         """Objects that may be the best, in the order they were made: all that score within _MARGIN of the best."""
@@ -243,12 +260,10 @@ class Scene:
                 met[i] = met.get(i, 0) + 1
         n = len(self.objects)
         if not self.cells or (self.weights < 0).any():  # with a negative weight the limits don't hold
-            shared = np.zeros(n)
-            shared[list(met)] = list(met.values())
-            score = self._scores(slice(n), row, low, high, middle, own, volume, shared, len(points))
+            score = self._scores(slice(n), row, low, high, middle, own, volume, met, len(points))
             return np.flatnonzero(score >= score.max() - _MARGIN).tolist()
         which = np.fromiter(met, np.int64, len(met))
-        score = self._scores(which, row, low, high, middle, own, volume, np.fromiter(met.values(), float, len(met)), len(points))
+        score = self._scores(which, row, low, high, middle, own, volume, dict(enumerate(met.values())), len(points))
         best = score.max() if len(score) else -math.inf
         found = [(which, score)]
         limits = self._limits(row, low, high, middle, own)
@@ -257,7 +272,7 @@ class Scene:
                 break
             which = np.array([i for i in self.members[k] if i not in met], np.int64)
             if len(which):
-                score = self._scores(which, row, low, high, middle, own, volume, np.zeros(len(which)), len(points))
+                score = self._scores(which, row, low, high, middle, own, volume, {}, len(points))
                 best = max(best, score.max())
                 found.append((which, score))
         return sorted({int(i) for which, score in found for i in which[score >= best - _MARGIN]})
@@ -338,6 +353,14 @@ def _taken(observations: DataFrame) -> DataFrame:
     return observations.select(whole("scene"), whole("obs"), whole("frame"), L.collapsed(F.col("label")).alias("label"), reals("low"), reals("high"), reals("center"), F.col("points").cast("array<bigint>").alias("points"), F.col("score").cast("double").alias("score"))
 
 
+def _plain(column: pa.Array) -> list:
+    """A column's values; lists of numbers are cut from one list of all, which takes a fraction of the time."""
+    if not pa.types.is_list(column.type) or column.values.null_count:
+        return column.to_pylist()
+    values, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.tolist()
+    return [values[a:b] if valid else None for a, b, valid in zip(ends, ends[1:], column.is_valid().tolist(), strict=False)]
+
+
 def fold(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
     """The match log of observations (scene, obs, frame, label, low, high, center, points, score) taken in order of frame and obs.
 
@@ -353,7 +376,7 @@ def fold(observations: DataFrame, rules: FoldRules = FoldRules()) -> DataFrame:
         key, scene = None, None
         for batch in batches:
             out = []
-            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for values in zip(*[_plain(c) for c in batch.columns], strict=True):
                 if scene is None or values[0] != key:
                     key, scene = values[0], Scene(rules)
                 out.append(_entry(key, _Row(*values[1:]), scene))
@@ -447,7 +470,6 @@ def fold_stream(observations: DataFrame, rules: FoldRules = FoldRules()) -> Data
 def frame_events(log: DataFrame) -> DataFrame:
     """(scene, frame, events, counts): each frame's matches and new objects in order, and how many of each; skipped ones leave no event."""
     made = log.where(~F.col("action").startswith("skipped"))
-    each = made.groupBy("scene", "frame", "action").agg(F.count("*").alias("c"))
-    counts = each.groupBy("scene", "frame").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "c")))).alias("counts"))
-    events = made.groupBy("scene", "frame").agg(F.array_sort(F.collect_list(F.struct("obs", "action", "object_id"))).alias("events"))
-    return events.join(counts, ["scene", "frame"])
+    each = made.groupBy("scene", "frame", "action").agg(F.count("*").alias("c"), F.collect_list(F.struct("obs", "action", "object_id")).alias("own"))
+    events, counts = F.array_sort(F.flatten(F.collect_list("own"))), F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "c"))))
+    return each.groupBy("scene", "frame").agg(events.alias("events"), counts.alias("counts"))

@@ -80,3 +80,18 @@ def test_objects_from_the_log(spark):
         held.setdefault((r.scene, r.object_id), set()).add(r.point)
     held.pop((7, "obj_000000"))
     assert held == points
+
+
+def test_frame_events_follow_the_scenes_once(spark):
+    from skein.plans import lift_queries
+
+    plan = lift_queries.a17_frame_events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_lists_of_numbers_are_cut_whole():
+    import pyarrow as pa
+
+    for values in ([[1.0, 2.0], None, [], [3.0]], [[1.0, None], [2.0]], [None], []):
+        column = pa.array([[9.0], *values], pa.list_(pa.float64())).slice(1)
+        assert associate._plain(column) == values
