@@ -30,11 +30,13 @@ from skein.llm.common import prepare, read_documents
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of message passing, and the probability from which a label counts.
 ROUNDS, SURE = 12, 0.9
-#: Tokens in one number, at most.
-RUN = 5
+#: Digits of a number that stands in several tokens, as few as a phone number's and as many as a card's.
+SHORT, LONG = 7, 19
 #: A span that the field adds has this many digits, or an @ for an address, so that no lone part of a number is reported.
 MIN_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
 STEPS, RATE = 400, 0.3
+#: Messages that are worked out together.
+LINKS = 100_000
 #: Before any data, linked tokens of one label are this much likelier, as a logarithm; the data move it.
 AGREE, TRUST = 4.0, 1e-2
 
@@ -153,10 +155,6 @@ def _table(features: list[list[int]]) -> np.ndarray:
     return table
 
 
-#: Different numbers with the same last digits that a number is compared with, the latest ones.
-VARIANTS = 4
-
-
 def _one_number(a: str, a_known: bool, b: str, b_known: bool) -> bool:
     """Whether two rows of digits are one number, the shorter without what stands before it: a country code in one, a nought in its place in the other. What a pattern found is whole, so nothing longer is that number."""
     a, b = a.lstrip("0"), b.lstrip("0")
@@ -168,13 +166,16 @@ def _one_number(a: str, a_known: bool, b: str, b_known: bool) -> bool:
 
 
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
-    """Nodes for tokens, and for up to RUN neighbouring tokens without letters that make one number together.
+    """Nodes for tokens, and for neighbouring tokens without letters that make one number of SHORT to LONG digits together.
 
     A node is linked to the latest one of the same text, and by its number to the latest of
     each different number of the same last seven digits: as the same, or as one that only
     ends alike. What is part of a pattern's find, and has seven digits itself, has the number of the whole find. What either sort of link says is learned.
     """
-    doc, span, rows, chain, skip, near, label = [], [], [], [], [], [], []
+    doc, span, rows, chain, skip, label = [], [], [], [], [], []
+
+    # Links that a number has to all others of its ending grow with their square, so they are kept as arrays.
+    many: list[list[np.ndarray]] = [[], []]
 
     def node(d: int, a: int, b: int, features: list[int], own: int, token: str, digits: str, seen: dict[str, dict]) -> None:
         if token:
@@ -183,9 +184,14 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
             met[""] = len(span)
         if len(digits) >= 7:
             met = seen.setdefault("d" + digits[-7:], {})
-            for (other, known), i in list(met.items())[-VARIANTS:]:
-                if (pair := (i, len(span))) not in skip[-1:]:  # that of the same text
-                    (skip if _one_number(digits, own > 0, other, known) else near).append(pair)
+            same_text = skip[-1][0] if skip and skip[-1][1] == len(span) else -1
+            ends: list[list[int]] = [[], []]
+            for (other, known), i in met.items():
+                if i != same_text:
+                    ends[not _one_number(digits, own > 0, other, known)].append(i)
+            for links, found in zip(many, ends, strict=True):
+                if found:
+                    links.append(np.array([found, [len(span)] * len(found)], np.int32))
             met.pop((digits, own > 0), None)
             met[digits, own > 0] = len(span)
         doc.append(d)
@@ -209,14 +215,22 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
                 run = []
             last = len(span)
             node(d, a, b, _features(token), own, token.strip(_ENDS).lower(), whole if whole and len(digits) >= 7 else digits, seen)
-            run = [*run[1 - RUN :], (a, digits, own)] if not any(c.isalpha() for c in token) else []
+            if any(c.isalpha() for c in token):
+                run = []
+                continue
+            if not digits:
+                continue
+            run.append((a, digits, own))
+            while len(run) > 1 and sum(len(x) for _, x, _ in run) > LONG:
+                run = run[1:]
             for n in range(2, len(run) + 1):
                 some = run[-n:]
                 number = "".join(x for _, x, _ in some)
-                if 7 <= len(number) <= 19 and len({x for _, _, x in some}) == 1:
-                    node(d, some[0][0], b, [*_features(number), 81 + n], own, "", whole or number, seen)
+                if SHORT <= len(number) <= LONG and len({x for _, _, x in some}) == 1:
+                    node(d, some[0][0], b, [*_features(number), 81 + min(n, 9)], own, "", whole or number, seen)
     pairs = lambda x: np.array(x, dtype=np.int64).reshape(-1, 2)
-    return Graph(doc, span, rows, pairs(chain), pairs(skip), pairs(near), np.array(label, dtype=np.int64))
+    joined = lambda own, links: np.concatenate([pairs(own), *[x.T for x in links]]).astype(np.int64)
+    return Graph(doc, span, rows, pairs(chain), joined(skip, many[0]), joined([], many[1]), np.array(label, dtype=np.int64))
 
 
 def _cases(g: Graph) -> Counter:
@@ -265,16 +279,20 @@ def marginals(field: Field, g: Graph) -> np.ndarray:
     sets = [(g.chain, field.chain), (g.skip, field.skip), (g.near, field.near)]
     source = np.concatenate([np.concatenate([e[:, 0], e[:, 1]]) for e, _ in sets])
     target = np.concatenate([np.concatenate([e[:, 1], e[:, 0]]) for e, _ in sets])
-    pair = np.concatenate([np.concatenate([np.broadcast_to(w, (len(e), 5, 5)), np.broadcast_to(w.T, (len(e), 5, 5))]) for e, w in sets])
+    kind = np.concatenate([np.repeat([2 * k, 2 * k + 1], len(e)).astype(np.int8) for k, (e, _) in enumerate(sets)])
+    pair = np.stack([x for _, w in sets for x in (w, w.T)])
     first = 2 * np.cumsum([0, *[len(e) for e, _ in sets]])
     back = np.concatenate([np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))]) + at for (e, _), at in zip(sets, first, strict=False)])  # the message the other way
     message = np.zeros((len(source), 5))
     for _ in range(ROUNDS if len(source) else 0):
         total = own.copy()
         np.add.at(total, target, message)
-        out = (total[source] - message[back])[:, :, None] + pair
-        top = out.max(axis=1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+        new = np.empty_like(message)
+        for at in range(0, len(source), LINKS):
+            part = slice(at, at + LINKS)
+            out = (total[source[part]] - message[back[part]])[:, :, None] + pair[kind[part]]
+            top = out.max(axis=1, keepdims=True)
+            new[part] = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
         message = 0.5 * message + 0.5 * new
     np.add.at(own, target, message)

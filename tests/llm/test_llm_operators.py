@@ -743,3 +743,28 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
     assert ids["toxicity"] == ids["line dedup"] == collections.Counter(r.doc_id for r in odd.collect())
     # rows 1 to 3 have no words; the repeats of 4 and its copy 5 lose their line in line dedup or are copies
     assert set(ids["BPE"]) == set(ids["near copies"]) == {None, 1, 4, 6, 7} and max(ids["BPE"].values()) == 1
+
+
+def test_op9_links_a_number_to_all_that_end_alike():
+    numbers = [f"{100 + i}5551234" for i in range(12)]
+    text = " x ".join([*numbers, "5551234"])
+    g = pii.graph([text], [pii.base_spans(text)])
+    at = {text[a:b]: i for i, (a, b) in enumerate(g.span)}
+    linked = {frozenset(p) for p in np.concatenate([g.skip, g.near]).tolist()}
+    assert linked == {frozenset((at[a], at[b])) for a in at for b in at if a != b}
+    assert {tuple(p) for p in g.skip.tolist()} == {(at[n], at["5551234"]) for n in numbers}
+
+
+def test_op9_messages_in_parts_are_the_same(monkeypatch):
+    text = " x ".join(f"{100 + i}5551234" for i in range(9)) + " call +1 100 5551234 or 100 5551234"
+    field = pii.fit([text])
+    g = pii.graph([text], [pii.base_spans(text)])
+    whole = pii.marginals(field, g)
+    monkeypatch.setattr(pii, "LINKS", 7)
+    assert np.allclose(pii.marginals(field, g), whole)
+
+
+def test_op9_numbers_of_many_tokens_are_candidates():
+    text = "so 5 5 5 1 2 3 4 it is"
+    g = pii.graph([text], [pii.base_spans(text)])
+    assert (3, 16) in g.span and all(sum(c.isdigit() for c in text[a:b]) <= pii.LONG for a, b in g.span)
