@@ -541,3 +541,18 @@ def test_box_figures_without_rows_of_points(spark, monkeypatch):
     monkeypatch.setattr(spatial, "points_in_boxes", lambda *_: pytest.fail("a row for each point in a box"))
     for name in ("a11_percentile_box", "a23_oriented_box"):
         assert audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_set_overlap_moves_no_row_for_a_meeting(spark, monkeypatch):
+    """Two blocks of sets against plain counts; each item's sets go out as lists."""
+    monkeypatch.setattr(spatial, "SETS", 16)
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(40), rng.randint(1, 9))) for i in range(40)}
+    df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, item long")
+    counts = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    for least in (None, 0.5):
+        want = {k: n for k, n in counts.items() if n and (least is None or n >= least * min(len(sets[k[0]]), len(sets[k[1]])))}
+        found = spatial._counted(df, least)
+        assert {(r.a, r.b): r.shared for r in found.collect()} == want
+    assert spatial._counted(df.limit(0)).count() == 0
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().sparkPlan().toString()
