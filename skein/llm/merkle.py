@@ -4,9 +4,11 @@ Leaves of a language ascend by doc_id and are hashed in pairs up to the language
 subroots, by language, likewise up to the root. The tree is cut into aligned blocks of 1024
 nodes of one level. A task builds the subtree of a block of leaves once; each tampered leaf
 then makes a version of it by copying its ancestors, all other nodes being shared. Above,
-blocks of block roots are hashed in the same way, level by level of blocks, and each block
-learns its path to the root from the block over it: never more than 1024 rows meet one. A
-version goes on from its block's root along that path. No tree or level is held by one task.
+blocks of block roots are trees of the same kind, level by level of blocks, and each block
+learns its path to the root from the block over it. Versions go up the same way: a version's
+root in one block is the changed leaf of the block over it, whose ancestors are copied there,
+up to the root; a block of many versions is handed out with bounded parts of them. An
+untampered leaf is folded along its siblings. No tree or level is held by one task.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from skein.llm.common import numbered, prepare, read_documents, store
 
 #: Levels of a block; it has 2 to this power of nodes at most.
 HEIGHT = 10
+#: Versions that one copy of a block above the leaves makes.
+PART_VERSIONS = 1 << 11
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -94,21 +98,23 @@ def _bits(hexes: list[str]) -> bytes:
 
 
 def _leaf_block(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
-    """A block of leaves: siblings' digests within the block, the block's root and that of each tampered leaf's version."""
+    """A block of leaves: siblings' digests within the block, the block's root, and what each leaf comes to there: the root of a tampered leaf's version, or the leaf folded along its siblings."""
     pdf = pdf.sort_values("pos")
     tree = PersistentTree([x.hex() for x in pdf.leaf], _levels(int(pdf.n.iloc[0]), height))
-    proofs, versions, copied = [], [], []
-    for i, changed in enumerate(pdf.changed):
-        proofs.append(_bits([tree.digest[s] for s, _ in tree.path(i) if s >= 0]))
+    proofs, folded, copied = [], [], []
+    for i, (leaf, changed) in enumerate(zip(pdf.leaf, pdf.changed, strict=True)):
+        path, before = [(tree.digest[s] if s >= 0 else "", left) for s, left in tree.path(i)], len(tree.digest)
+        proofs.append(_bits([s for s, _ in path]))
         if changed is None:
-            versions.append(None)
-            copied.append(0)
+            now = leaf.hex()
+            for sibling, left in path:
+                now = _hash(sibling, now) if left else _hash(now, sibling)
+            folded.append(now)
         else:
-            before = len(tree.digest)
-            versions.append(tree.digest[tree.version(i, changed.hex())])
-            copied.append(len(tree.digest) - before)
+            folded.append(tree.digest[tree.version(i, changed.hex())])
+        copied.append(len(tree.digest) - before)
     roots = [tree.digest[tree.root]] + [None] * (len(pdf) - 1)
-    return pd.DataFrame({"doc_id": pdf.doc_id, "lang": pdf.lang, "tree": pdf.tree, "n": pdf.n, "pos": pdf.pos, "leaf": pdf.leaf, "changed": pdf.changed, "proof": proofs, "version": versions, "copied": copied, "block_root": np.array(roots, dtype=object)})
+    return pd.DataFrame({"doc_id": pdf.doc_id, "lang": pdf.lang, "tree": pdf.tree, "n": pdf.n, "pos": pdf.pos, "leaf": pdf.leaf, "changed": pdf.changed, "proof": proofs, "folded": folded, "copied": copied, "block_root": np.array(roots, dtype=object)})
 
 
 def _node_block(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
@@ -120,6 +126,15 @@ def _node_block(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
     return pd.DataFrame({"tree": pdf.tree, "n": pdf.n, "pos": pdf.pos, "digest": pdf.digest, "path": paths, "block_root": np.array(roots, dtype=object)})
 
 
+def _version_block(versions: pd.DataFrame, nodes: pd.DataFrame, height: int) -> pd.DataFrame:
+    """Versions go on through a block of nodes further up: each one's node is a changed leaf there, whose ancestors are copied."""
+    nodes = nodes.sort_values("pos")
+    tree = PersistentTree(list(nodes.digest), _levels(int(nodes.n.iloc[0]), height))
+    roots = [tree.version(at, digest) for at, digest in zip(versions.pos - nodes.pos.iloc[0], versions.digest, strict=True)]
+    return pd.DataFrame({"own": versions.own, "place": versions.place, "tree": versions.tree, "pos": versions.pos.to_numpy() >> height, "digest": np.array([tree.digest[x] for x in roots], dtype=object), "copied": versions.copied + tree.height})
+
+
+_VERSIONS = "own bigint, place bigint, tree bigint, pos bigint, digest string, copied bigint"
 _PATH = "array<struct<l: string, r: string>>"
 
 
@@ -127,16 +142,28 @@ def _up(n: Column, height: int) -> Column:
     return F.shiftright(n + ((1 << height) - 1), height)
 
 
-def _paths(nodes: DataFrame, height: int) -> DataFrame:
-    """nodes (tree, n, pos, digest) with each one's path to its tree's top, and the top's digest. Blocks go up level by level, a few rounds whatever the size, and paths come down again."""
+def _copied(nodes: DataFrame, versions: DataFrame, height: int) -> DataFrame:
+    """versions (own, place, tree, pos, digest, copied), each of the leaf at a place of tree `own`, a level of blocks further up. A block meets its versions in parts, each with the block's nodes; the parts' table has a row for a block."""
+    block = F.shiftright("pos", height)
+    keys = ["tree", "block", "part"]
+    parts = F.broadcast(versions.groupBy("tree", block.alias("block")).agg(F.ceil(F.count("*") / PART_VERSIONS).alias("parts")))
+    dealt = versions.withColumn("block", block).join(parts, ["tree", "block"]).withColumn("part", F.pmod(F.xxhash64("own", "place"), "parts")).drop("parts")
+    each = nodes.withColumn("block", block).join(parts, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    grown = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(lambda v, n: _version_block(v, n, height), _VERSIONS)
+    return store(grown).df
+
+
+def _paths(nodes: DataFrame, versions: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
+    """nodes (tree, n, pos, digest) with each one's path to its tree's top, and the top's digest; and versions, which begin at nodes, at their tops. Blocks go up level by level, a few rounds whatever the size, and paths come down again."""
     most = nodes.agg(F.max("n")).first()[0] or 0
     if most <= 1:
-        return nodes.select("tree", "n", "pos", "digest", F.array().cast(_PATH).alias("path"), F.col("digest").alias("top"))
+        return nodes.select("tree", "n", "pos", "digest", F.array().cast(_PATH).alias("path"), F.col("digest").alias("top")), versions
     block = F.shiftright("pos", height)
     built = store(nodes.groupBy("tree", block.alias("block")).applyInPandas(lambda pdf: _node_block(pdf, height), f"tree bigint, n bigint, pos bigint, digest string, path {_PATH}, block_root string")).df
-    over = _paths(built.where("block_root is not null").select("tree", _up(F.col("n"), height).alias("n"), block.alias("pos"), F.col("block_root").alias("digest")), height)
+    over = built.where("block_root is not null").select("tree", _up(F.col("n"), height).alias("n"), block.alias("pos"), F.col("block_root").alias("digest"))
+    over, versions = _paths(over, _copied(nodes, versions, height), height)
     over = over.select("tree", F.col("pos").alias("block"), F.col("path").alias("rest"), "top")
-    return built.withColumn("block", block).join(over, ["tree", "block"]).select("tree", "n", "pos", "digest", F.concat("path", "rest").alias("path"), "top")
+    return built.withColumn("block", block).join(over, ["tree", "block"]).select("tree", "n", "pos", "digest", F.concat("path", "rest").alias("path"), "top"), versions
 
 
 def fold(digest: Column, path: Column) -> Column:
@@ -145,13 +172,14 @@ def fold(digest: Column, path: Column) -> Column:
 
 
 def manifest(docs: DataFrame, is_tampered: Callable[[Column], Column] = tampered, height: int = HEIGHT) -> DataFrame:
-    """(doc_id, lang, pos, leaf, subroot, root, proof_sha256, folded_root, verified, tampered_leaf, copied_nodes) of each row.
+    """(doc_id, lang, pos, leaf, subroot, root, proof_sha256, folded_root, verified, tampered_leaf, copied_nodes, copied_above) of each row.
 
     pos is the leaf's place in its language. proof_sha256 hashes the siblings from the leaf
     to the root. Of rows whose doc_id `is_tampered` picks, n_chars grows by one (null stays),
     and folded_root is the root of the version that this leaf makes; of others, it is the
-    root again. verified tells whether both are the same; copied_nodes counts what the
-    version copied within its block, which has `height` levels. Null fields hash as `-`; a null language is the first
+    leaf folded along its siblings. verified tells whether it is the root; copied_nodes counts
+    what the version copied within its block, which has `height` levels, copied_above what it
+    copied from there to the root. Null fields hash as `-`; a null language is the first
     tree, a null doc_id the first leaves of its tree and never tampered; rows of one doc_id
     are ordered by their leaves, so equal rows are interchangeable. Long texts are hashed
     whole. An empty table gives no rows; other columns are ignored.
@@ -167,16 +195,22 @@ def manifest(docs: DataFrame, is_tampered: Callable[[Column], Column] = tampered
     leaves = placed.join(named, F.col("lang").eqNullSafe(F.col("__lang"))).withColumn("pos", F.col("at") - F.col("first")).drop("__lang", "at", "first")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     block = F.shiftright("pos", height)
-    schema = f"doc_id {id_type}, lang string, tree bigint, n bigint, pos bigint, leaf binary, changed binary, proof binary, version string, copied bigint, block_root string"
+    schema = f"doc_id {id_type}, lang string, tree bigint, n bigint, pos bigint, leaf binary, changed binary, proof binary, folded string, copied bigint, block_root string"
     built = store(leaves.select("doc_id", "lang", "tree", "n", "pos", "leaf", "changed").groupBy("tree", block.alias("block")).applyInPandas(lambda pdf: _leaf_block(pdf, height), schema)).df
-    tops = store(_paths(built.where("block_root is not null").select("tree", _up(F.col("n"), height).alias("n"), block.alias("pos"), F.col("block_root").alias("digest")), height)).df
+    nodes = store(built.where("block_root is not null").select("tree", _up(F.col("n"), height).alias("n"), block.alias("pos"), F.col("block_root").alias("digest"))).df
+    versions = store(built.where("changed is not null").select(F.col("tree").alias("own"), F.col("pos").alias("place"), "tree", block.alias("pos"), F.col("folded").alias("digest"), F.lit(0).cast("bigint").alias("copied"))).df
+    tops, versions = _paths(nodes, versions, height)
+    tops = store(tops).df
     trees = tops.where("pos = 0").select(F.lit(0).cast("bigint").alias("tree"), F.lit(langs.count()).cast("bigint").alias("n"), F.col("tree").alias("pos"), F.col("top").alias("digest"))
-    trees = store(_paths(trees, height)).df.select(F.col("pos").alias("tree"), F.col("path").alias("last"), F.col("top").alias("root"))
+    trees, versions = _paths(trees, versions.withColumn("pos", F.col("tree")).withColumn("tree", F.lit(0).cast("bigint")), height)
+    trees = store(trees).df.select(F.col("pos").alias("tree"), F.col("path").alias("last"), F.col("top").alias("root"))
     above = store(tops.join(trees, "tree").select("tree", F.col("pos").alias("block"), F.concat("path", "last").alias("path"), F.col("top").alias("subroot"), "root")).df
     each = built.withColumn("block", block).join(above, ["tree", "block"])
     siblings = F.concat(F.lower(F.hex("proof")), F.array_join(F.transform("path", lambda x: F.concat(x["l"], x["r"])), ""))
-    folded = F.when(F.col("version").isNull(), F.col("root")).otherwise(fold(F.col("version"), F.col("path")))
-    out = each.select("doc_id", "lang", "pos", F.lower(F.hex("leaf")).alias("leaf"), "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"), F.lower(F.hex("changed")).alias("tampered_leaf"), F.col("copied").alias("copied_nodes"))
+    ends = versions.select(F.col("own").alias("tree"), F.col("place").alias("pos"), F.col("digest").alias("end"), F.col("copied").alias("copied_above"))
+    same = each.where("changed is null").withColumn("end", fold(F.col("folded"), F.col("path"))).withColumn("copied_above", F.lit(0).cast("bigint"))
+    each = same.unionByName(each.where("changed is not null").join(ends, ["tree", "pos"]))
+    out = each.select("doc_id", "lang", "pos", F.lower(F.hex("leaf")).alias("leaf"), "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), F.col("end").alias("folded_root"), F.lower(F.hex("changed")).alias("tampered_leaf"), F.col("copied").alias("copied_nodes"), "copied_above")
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

@@ -7,6 +7,7 @@ import hashlib
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,31 @@ def test_manifest_of_odd_rows(spark, odd, height):
     assert all(r.copied_nodes <= height + 1 for r in changed) and all(r.verified == (r.doc_id == 2) for r in changed)
 
 
+@pytest.mark.parametrize("height,part", [(1, 3), (3, 5), (10, 1 << 11)])
+def test_versions_copy_nodes_up_to_the_root(spark, monkeypatch, height, part):
+    """Above the leaves' blocks, too, however many blocks there are and in however many parts a block meets its versions."""
+    monkeypatch.setattr(merkle, "PART_VERSIONS", part)
+    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.expr("CASE WHEN id < 64 THEN 'de' WHEN id < 89 THEN 'en' END").alias("lang"), F.lit(1).alias("n_chars"), F.concat(F.lit("t"), "id").alias("text"))
+    rows, made = docs.collect(), merkle.manifest(docs, lambda c: c % 2 == 0, height).collect()
+    levels = {"de": 6 + 2, "en": 5 + 2, None: 0 + 2}
+    for r in made:
+        assert r.copied_nodes + r.copied_above == (0 if r.doc_id % 2 else 1 + levels[r.lang]), r
+        assert r.verified == bool(r.doc_id % 2) and (r.folded_root == r.root) == r.verified
+    assert len({r.folded_root for r in made}) == 46 and len({r.root for r in made}) == 1
+    monkeypatch.setattr(zlib, "crc32", lambda x: 7 if int(x) % 2 == 0 else 1)
+    assert sorted((r.doc_id, r.proof_sha256, r.folded_root) for r in made) == sorted((r[0], r[4], r[5]) for r in plain_manifest(rows))
+
+
+def test_untampered_leaves_are_folded(monkeypatch):
+    """What an untampered leaf comes to is worked out from its siblings: a wrong one shows."""
+    pdf = pd.DataFrame({"doc_id": range(5), "lang": "en", "tree": 0, "n": 5, "pos": range(5), "leaf": [bytes.fromhex(sha(str(i))) for i in range(5)], "changed": None})
+    right = merkle._leaf_block(pdf, 10)
+    assert list(right.folded) == [right.block_root[0]] * 5 and list(right.copied) == [0] * 5
+    path = merkle.PersistentTree.path
+    monkeypatch.setattr(merkle.PersistentTree, "path", lambda self, at: [(s if at != 3 else self.root, left) for s, left in path(self, at)])
+    assert [x == right.block_root[0] for x in merkle._leaf_block(pdf, 10).folded] == [True, True, True, False, True]
+
+
 def test_manifest_without_rows(empty):
     assert merkle.manifest(empty).count() == 0
 
