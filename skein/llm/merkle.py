@@ -128,6 +128,8 @@ def _node_block(pdf: pd.DataFrame, height: int) -> pd.DataFrame:
 
 def _version_block(versions: pd.DataFrame, nodes: pd.DataFrame, height: int) -> pd.DataFrame:
     """Versions go on through a block of nodes further up: each one's node is a changed leaf there, whose ancestors are copied."""
+    if versions.empty:
+        return versions[["own", "place", "tree", "pos", "digest", "copied"]]
     nodes = nodes.sort_values("pos")
     tree = PersistentTree(list(nodes.digest), _levels(int(nodes.n.iloc[0]), height))
     roots = [tree.version(at, digest) for at, digest in zip(versions.pos - nodes.pos.iloc[0], versions.digest, strict=True)]
@@ -143,12 +145,13 @@ def _up(n: Column, height: int) -> Column:
 
 
 def _copied(nodes: DataFrame, versions: DataFrame, height: int) -> DataFrame:
-    """versions (own, place, tree, pos, digest, copied), each of the leaf at a place of tree `own`, a level of blocks further up. A block meets its versions in parts, each with the block's nodes; the parts' table has a row for a block."""
+    """versions (own, place, tree, pos, digest, copied), each of the leaf at a place of tree `own`, a level of blocks further up. A block of many versions meets them in parts, each with the block's nodes; the table of such blocks has fewer rows than versions / PART_VERSIONS."""
     block = F.shiftright("pos", height)
     keys = ["tree", "block", "part"]
-    parts = F.broadcast(versions.groupBy("tree", block.alias("block")).agg(F.ceil(F.count("*") / PART_VERSIONS).alias("parts")))
-    dealt = versions.withColumn("block", block).join(parts, ["tree", "block"]).withColumn("part", F.pmod(F.xxhash64("own", "place"), "parts")).drop("parts")
-    each = nodes.withColumn("block", block).join(parts, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    many = F.broadcast(versions.groupBy("tree", block.alias("block")).agg(F.ceil(F.count("*") / PART_VERSIONS).alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    dealt = versions.withColumn("block", block).join(many, ["tree", "block"], "left").withColumn("part", F.pmod(F.xxhash64("own", "place"), parts)).drop("parts")
+    each = nodes.withColumn("block", block).join(many, ["tree", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("parts")
     grown = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(lambda v, n: _version_block(v, n, height), _VERSIONS)
     return store(grown).df
 
