@@ -552,6 +552,21 @@ def test_op7_hot_passage(spark):
     assert got == plain_repeats(list(enumerate(texts)), repeats.SIZE)
 
 
+def test_op7_length_is_in_bytes(spark):
+    """A shared passage of over 50 words stays while it has 399 bytes and goes with one byte more; n_bytes is the whole length in both cases."""
+    rng = random.Random(7)
+    words = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(58))
+    texts = []
+    for passage, pads in ((words[:399], "0123"), (words[:398] + "é", "4567")):
+        assert len(passage.split()) > 50
+        texts += [pads[0] * 30 + passage + pads[1] * 50, pads[2] * 70 + passage + pads[3] * 10]
+    # the second passage differs from the first in its end only, so each text shares 398 bytes with the other two besides
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in repeats.remove_repeats(docs, keep_text=False).orderBy("doc_id").collect()]
+    assert [r[:4] for r in got] == [(0, 479, 0, 0), (1, 479, 0, 0), (2, 480, 400, 1), (3, 480, 400, 1)]
+    assert got == plain_repeats(list(enumerate(texts)), repeats.SIZE)
+
+
 def plain_spans(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
