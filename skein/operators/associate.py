@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -406,7 +406,7 @@ def object_table(observations: DataFrame, log: DataFrame, rules: FoldRules = Fol
     frames = o.select(*key, "frame").distinct().groupBy(*key).agg(F.count("*").alias("frames"))
     points = object_points(observations, log).groupBy(*key).agg(F.count("*").alias("points"))
     edge = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(3)]
-    whole = o.groupBy(*key).agg(F.count("*").alias("seen"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"), *edge)
+    whole = o.groupBy(*key).agg(F.count("*").alias("seen"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), _mean(F.coalesce("score", F.lit(0.0))).alias("mean_score"), *edge)
     made = whole.join(named, key).join(frames, key).join(points, key)
     status = F.when((F.col("seen") > 1) & ((F.col("frames") >= rules.confirm_frames) | (F.col("seen") >= rules.confirm_seen)), "confirmed").otherwise("candidate")
     low, high = F.array(*[F.col(f"low{i}") for i in range(3)]), F.array(*[F.col(f"high{i}") for i in range(3)])
@@ -418,6 +418,13 @@ def object_table(observations: DataFrame, log: DataFrame, rules: FoldRules = Fol
     )
 
 
+def _mean(c: Column) -> Column:
+    """The mean of numbers, the same in whatever order they come: they are added as decimals of 18 places, where all are below a billion."""
+    fine = F.abs(c) < 1e9
+    added = F.sum(F.when(fine, c.cast("decimal(38,18)"))).cast("double")
+    return F.when(F.count_if(~fine) > 0, F.avg(c)).otherwise(added / F.count("*"))
+
+
 def object_points(observations: DataFrame, log: DataFrame) -> DataFrame:
     """(scene, object_id, point): the union of the points of each object's observations, in long form."""
     o = _taken(observations).select("scene", "obs", "points").join(log.where("object_id is not null").select("scene", "obs", "object_id"), ["scene", "obs"])

@@ -95,3 +95,12 @@ def test_lists_of_numbers_are_cut_whole():
     for values in ([[1.0, 2.0], None, [], [3.0]], [[1.0, None], [2.0]], [None], []):
         column = pa.array([[9.0], *values], pa.list_(pa.float64())).slice(1)
         assert associate._plain(column) == values
+
+
+@pytest.mark.parametrize("scores, mean", [([0.1, 0.2, 0.3], 0.6 / 3), ([0.3, 0.2, 0.1], 0.6 / 3), ([None, 0.7, 0.1, 0.2], 0.25), ([float("nan"), 1.0], float("nan")), ([1e300, 2e300], 1.5e300)])
+def test_mean_score_in_any_order(spark, scores, mean):
+    box = [[0.0] * 3, [1.0] * 3, None, [1]]
+    obs = spark.createDataFrame([(1, n, n, "cup", *box, s) for n, s in enumerate(scores)], OBS).coalesce(1)
+    log = spark.createDataFrame([(1, n, "obj_000000") for n in range(len(scores))], "scene long, obs long, object_id string").coalesce(1)
+    got = associate.object_table(obs, log).first()["mean_score"]
+    assert got == mean or got != got and mean != mean
