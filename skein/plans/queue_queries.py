@@ -356,7 +356,7 @@ SELECT g.point, coalesce(m.r::DOUBLE, -1.0::DOUBLE) AS red FROM v_gauss g LEFT J
 
 def s22_scene_report(spark, sf_dir: str) -> DataFrame:
     """The 80 nearest relations as lines of a report."""
-    return E.report_lines(pair_queries.j15_scene_relations(spark, sf_dir))
+    return E.report_lines(pair_queries.scene(spark, sf_dir, 80), 80)
 
 
 QUERIES["s22_scene_report"] = s22_scene_report
